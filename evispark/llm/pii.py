@@ -244,7 +244,7 @@ def redact(docs: DataFrame) -> DataFrame:
             texts = [mask(t) for t in batch.column("text").to_pylist()]
             cols = {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
-                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.column("n_chars").type)
             return pa.RecordBatch.from_arrays([cols.get(n, batch.column(n)) for n in names], names)
 
         return work
