@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media_ts, minhash_dedup, packing, pii, suffix_dedup
+from . import bpe, langid, lm_score, media_ts, minhash_dedup, packing, pii, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lm_score": lm_score.query,
+        "op3_langid": langid.query,
         "op5_minhash": minhash_dedup.query,
         "op6_suffix": suffix_dedup.query,
         "op7_packing": packing.query,
