@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lm_score, media_ts, minhash_dedup, packing, pii, suffix_dedup
+from . import bpe, langid, lm_score, media_ts, minhash_dedup, packing, pii, spotsigs, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spotsigs": spotsigs.query,
         "op2_lm_score": lm_score.query,
         "op3_langid": langid.query,
         "op5_minhash": minhash_dedup.query,
