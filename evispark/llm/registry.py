@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lm_score, media_ts, minhash_dedup, packing, pii, spotsigs, suffix_dedup
+from . import bpe, langid, lm_score, media_ts, minhash_dedup, packing, pii, spotsigs, suffix_dedup, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_spotsigs": spotsigs.query,
         "op2_lm_score": lm_score.query,
         "op3_langid": langid.query,
+        "op4_url_rules": url_rules.query,
         "op5_minhash": minhash_dedup.query,
         "op6_suffix": suffix_dedup.query,
         "op7_packing": packing.query,
