@@ -7,15 +7,18 @@ move the corpus a hundredfold, so suffixes are sampled by content, without loss:
 1. A suffix counts where the hash of its first GRAM bytes is the least among all
    grams of some window of min_bytes bytes. Equal windows pick equal suffixes, and
    each window picks one, so no repeat escapes.
-2. Grams that occur once are dropped by a count, combined map-side, and a join whose
-   hot keys adaptive execution splits. What remains is about the repeated text.
-3. Those suffixes, each with the context that a window around it can reach, are dealt
-   by sampled splitters on their leading bytes, so that no gram is cut apart and the
-   buckets' borders lie between different strings. Buckets stream through in sorted
-   order; at a block's border the last gram is carried over to the next block.
+2. A suffix travels as the hash of its gram and a second one of its context, the bytes
+   that a window around it can reach. Of equal contexts (128 bits) in one slice of
+   texts only the first meets the others; the rest are known to be repeats at once,
+   which keeps hot strings from gathering. Sorted by gram and context, a stream tells
+   what is alone, what repeats as a whole, and what shares its gram with another
+   context: the border suffixes, of which one for each context stays.
+3. These, with their contexts' bytes, are dealt by sampled splitters on their leading
+   bytes, so that no gram is cut apart and the buckets' borders lie between different
+   strings. Buckets stream through in sorted order; at a block's border the last gram
+   is carried over to the next block.
 4. A block is sorted by multikey quicksort, eight bytes at a time, refining ties only.
-   Equal contexts are repeats as a whole; of the rest each window is held, byte by
-   byte, against the first equal one of its gram.
+   Each window is held, byte by byte, against the first equal one of its gram.
 
 Edge cases: a null text is empty; texts shorter than min_bytes stay; documents with
 the same id, repeated rows included, count as separate documents in the order of
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, map_batches, table
+from .common import doc_key, map_batches, materialise, table
 
 MIN_BYTES = 100
 GRAM = 32
@@ -137,7 +140,7 @@ def repeats_in_block(context: np.ndarray, before: np.ndarray, after: np.ndarray,
     """
     reach, n = min_bytes - gram, len(context)
     lo, hi = np.full(n, -1, np.int64), np.full(n, -1, np.int64)  # the repeat windows' least and greatest distance before the suffix
-    # whole contexts; the gram leads, so that rows of one gram are neighbours
+    # contexts that are equal as a whole; the gram leads, so that rows of one gram are neighbours
     sizes = np.stack([before, after], 1).astype(np.uint64)
     pad = -(context.shape[1]) % 8
     turned = np.concatenate([context[:, reach:], context[:, :reach], np.zeros((n, pad), np.uint8)], 1)
@@ -196,10 +199,67 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
 
 
+_SECOND = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+_COLUMN = _RNG.integers(0, 1 << 63, 2048, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def context_hashes(raw: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, reach: int, min_bytes: int) -> np.ndarray:
+    """Hashes of what lies from ``reach`` bytes before to ``min_bytes`` after each suffix start, as far as its text [begin, end) goes."""
+    out = np.empty(len(at), np.uint64)
+    column = _COLUMN[: reach + min_bytes]
+    for s in range(0, len(at), 8192):
+        own = slice(s, s + 8192)
+        index = at[own, None] + np.arange(-reach, min_bytes)
+        ok = (index >= begin[own, None]) & (index < end[own, None])
+        out[own] = (np.where(ok, _SECOND[raw[np.where(ok, index, 0)]], np.uint64(0)) * column).sum(1, dtype=np.uint64)
+    out += np.minimum(at - begin, reach).astype(np.uint64) * _COLUMN[-1] + np.minimum(end - at, min_bytes).astype(np.uint64) * _COLUMN[-2]
+    out ^= out >> np.uint64(31)
+    return out * np.uint64(0x94D049BB133111EB)
+
+
+def _sorted_out(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+    """From suffixes sorted by (gram, context, k, rk, place): whole repeats (kind 0), and one border suffix for each context of grams that have several (kind 1)."""
+    before = None  # the last row's gram and context
+    leader, told = None, False  # the first row of its gram, and whether it went out
+    for batch in batches:
+        known = batch.column("known").to_numpy(zero_copy_only=False)
+        if known.any():
+            rows = pa.array(np.flatnonzero(known))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("k", "rk", "place")), pa.array(np.zeros(len(rows), np.int32))], ["k", "rk", "place", "kind"])
+        gram, context, k, rk, place = (batch.column(c).to_numpy()[~known] for c in ("gram", "context", "k", "rk", "place"))
+        n = len(gram)
+        if not n:
+            continue
+        new_gram, new_context = np.ones(n, bool), np.ones(n, bool)
+        new_gram[1:] = gram[1:] != gram[:-1]
+        new_context[1:] = new_gram[1:] | (context[1:] != context[:-1])
+        if before is not None:
+            new_gram[0] = gram[0] != before[0]
+            new_context[0] = new_gram[0] or context[0] != before[1]
+        whole = ~new_context & ((place >> 10 & 1023) + (place & 1023) >= min_bytes)
+        border = new_context & ~new_gram
+        lead = np.maximum.accumulate(np.where(new_gram, np.arange(n), -1))  # -1: an earlier batch's
+        needed = np.unique(lead[border])
+        if len(needed) and needed[0] < 0:
+            needed = needed[1:]
+            if not told:
+                yield pa.RecordBatch.from_pydict({"k": pa.array([leader[0]], pa.int64()), "rk": pa.array([leader[1]], pa.int32()), "place": pa.array([leader[2]], pa.int64()), "kind": pa.array([1], pa.int32())})
+                told = True
+        rows = np.concatenate([np.flatnonzero(whole), np.flatnonzero(border), needed])
+        kind = np.concatenate([np.zeros(whole.sum(), np.int32), np.ones(len(rows) - whole.sum(), np.int32)])
+        yield pa.RecordBatch.from_arrays([pa.array(k[rows]), pa.array(rk[rows]), pa.array(place[rows]), pa.array(kind)], ["k", "rk", "place", "kind"])
+        before = (gram[-1], context[-1])
+        if lead[-1] >= 0:
+            leader, told = (int(k[lead[-1]]), int(rk[lead[-1]]), int(place[lead[-1]])), bool(len(needed)) and needed[-1] == lead[-1]
+
+
 def spans(numbered: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
     """(k, rk, starts, ends): the repeated byte runs of documents that have any, possibly overlapping."""
+    if min_bytes > 1000:
+        raise ValueError("strings of at most 1000 bytes can be asked for")
     reach = min_bytes - gram
     size = reach + min_bytes
+    parts = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sampled():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -208,17 +268,32 @@ def spans(numbered: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) ->
             # one pass over all texts; what lies across two of them is left out
             base = int(offsets[0])
             at, h = anchors(raw[base : int(offsets[-1])], min_bytes, gram)
-            doc = np.searchsorted(offsets, at + base, side="right") - 1
-            inside = at + base + gram <= offsets[doc + 1]
-            inside &= offsets[doc + 1] - offsets[doc] >= min_bytes
+            at = at + base
+            doc = np.searchsorted(offsets, at, side="right") - 1
+            inside = (at + gram <= offsets[doc + 1]) & (offsets[doc + 1] - offsets[doc] >= min_bytes)
             at, h, doc = at[inside], h[inside], doc[inside]
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k[doc]), pa.array(rk[doc]), pa.array((at + base - offsets[doc]).astype(np.int32))], ["gram", "k", "rk", "at"])
+            begin, end = offsets[doc], offsets[doc + 1]
+            context = context_hashes(raw, at, begin, end, reach, min_bytes)
+            left, right = np.minimum(at - begin, reach), np.minimum(end - at, min_bytes)
+            order = np.lexsort((at - begin, rk[doc], k[doc], context, h))
+            again = np.zeros(len(order), bool)
+            again[1:] = (h[order][1:] == h[order][:-1]) & (context[order][1:] == context[order][:-1])
+            known = np.zeros(len(order), bool)
+            known[order] = again
+            known &= left + right >= min_bytes
+            place = (at - begin) << 20 | left << 10 | right
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(k[doc]), pa.array(rk[doc]), pa.array(place), pa.array(known)], ["gram", "context", "k", "rk", "place", "known"])
 
         return work
 
-    found = map_batches(numbered.select("k", "rk", "text"), sampled, "gram long, k long, rk int, at int")
-    shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    places = found.join(shared.hint("merge"), "gram").groupBy("k", "rk").agg(F.collect_list("at").alias("places"))
+    found = map_batches(numbered.select("k", "rk", "text"), sampled, "gram long, context long, k long, rk int, place long, known boolean")
+    # a known repeat goes anywhere
+    dealt_by = F.when(F.col("known"), F.xxhash64("k", "place")).otherwise(F.col("gram"))
+    streamed = found.repartition(parts, dealt_by).sortWithinPartitions("gram", "context", "k", "rk", "place")
+    told = materialise(streamed.mapInArrow(lambda batches: _sorted_out(batches, min_bytes), "k long, rk int, place long, kind int"), "repeats")
+    at = F.shiftright("place", 20)
+    whole = told.where("kind = 0").select("k", "rk", (at - F.shiftright("place", 10).bitwiseAND(1023)).cast("int").alias("start"), (at + F.col("place").bitwiseAND(1023)).cast("int").alias("end"))
+    places = told.where("kind = 1").groupBy("k", "rk").agg(F.collect_list(at.cast("int")).alias("places"))
 
     def cut():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -249,7 +324,6 @@ def spans(numbered: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) ->
     kind = "context binary, k long, rk int, at int, before int, after int"
     contexts = map_batches(numbered.select("k", "rk", "text").join(places, ["k", "rk"]), cut, kind)
     lead = F.substring("context", reach + 1, gram)
-    parts = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = contexts.repartitionByRange(parts, lead).sortWithinPartitions(lead, "k", "rk", "at")
 
     def solve(blocks: list[pa.Table]) -> pa.RecordBatch | None:
@@ -295,7 +369,7 @@ def spans(numbered: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) ->
             yield out
 
     repeated = dealt.mapInArrow(scan, "k long, rk int, start int, end int")
-    return repeated.groupBy("k", "rk").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    return whole.unionByName(repeated).groupBy("k", "rk").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
