@@ -171,7 +171,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
             run = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (spread[1:] != spread[:-1]))[: len(key)])  # a document's part of a bucket
             size = np.diff(np.append(run, len(key)))
             cut = np.flatnonzero(np.append(True, np.diff(spread[run]) != 0)[: len(run)])  # a bucket
-            ends = np.append(cut[1:], len(run))
+            ends = np.append(cut[1:], len(run))[: len(cut)]
             tokens = np.bincount(doc, minlength=len(rows))
             out = [(-1, rows.astype("<i8").tobytes(), tokens.astype("<u4").tobytes(), sums.astype("<i8").tobytes(), b"")]
             for a, b in zip(cut, ends, strict=True):
