@@ -174,7 +174,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accept(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is known well enough."""
-    clash = {c: f"_{c}" for c in docs.columns if c in ("lang_pred", "score")}
-    found = predict(docs.withColumnsRenamed(clash), learn(training_rows(docs)))
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({v: k for k, v in clash.items()})
+    inner = {c: c if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)}
+    found = predict(docs.select(*[F.col(c).alias(a) for c, a in inner.items()]), learn(training_rows(docs)))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*[F.col(a).alias(c) for c, a in inner.items()])

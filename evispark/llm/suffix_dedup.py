@@ -417,7 +417,8 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """The documents without repeated strings, n_chars renewed; a character of which a byte stays is kept whole."""
     names = docs.columns
     extra = tuple(c for c in names if c not in ("doc_id", "text"))
-    numbered = _numbered(docs.withColumnsRenamed({c: f"_{c}" for c in extra}), tuple(f"_{c}" for c in extra))
+    inner_names = {c: f"extra_{i}" for i, c in enumerate(extra)}
+    numbered = _numbered(docs.select("doc_id", "text", *[F.col(c).alias(a) for c, a in inner_names.items()]), tuple(inner_names.values()))
     kept = docs.schema
 
     def clean(text: str, s: np.ndarray, e: np.ndarray) -> str:
@@ -442,8 +443,8 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             keys = batch.column("k").to_pylist()
             cols = {"doc_id": pa.array([None if k == _NULL_KEY else k for k in keys], pa.int64()), "text": pa.array(texts, pa.string())}
             if "n_chars" in extra:
-                cols["n_chars"] = pa.array([len(t) for t in texts], batch.column("_n_chars").type)
-            return pa.RecordBatch.from_arrays([cols[n] if n in cols else batch.column(f"_{n}") for n in names], names)
+                cols["n_chars"] = pa.array([len(t) for t in texts], batch.column(inner_names["n_chars"]).type)
+            return pa.RecordBatch.from_arrays([cols[n] if n in cols else batch.column(inner_names[n]) for n in names], names)
 
         return work
 
