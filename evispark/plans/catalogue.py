@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, entries, evidence, fusion, metrics, reports, suite
+from ..operators import audit, entries, evidence, fusion, metrics, reports, suite, tools
 from ..sources import adapters as A
 from ..sources import paths
 from ..streaming import sessions
@@ -599,3 +599,45 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT user_id AS session, event_type AS tool, event_id % 5 AS params, min(event_id) AS seq, count(*) - 1 AS hits FROM events GROUP BY ALL")
 def memoised_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.memoised(_runs(spark, sf_dir))
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 64 x 64 pixels, drawn from the embeddings: each row an outer product, with a patch copied in every third."""
+    import numpy as np
+    import pyarrow as pa
+
+    def draw(batches):
+        for batch in batches:
+            ids, data = batch.column("vec_id").to_pylist(), []
+            for i, v in zip(ids, batch.column("embedding").to_pylist(), strict=True):
+                v = np.asarray(v, float)
+                waves = np.sin(np.outer(np.arange(64), v[:8]).sum(1))[:, None] + np.cos(np.outer(np.arange(64), v[8:16]).sum(1))[None, :]
+                a = 128 + 40 * waves + 25 * np.outer(v, v[::-1]) / max(1e-9, np.abs(v).max() ** 2)
+                rgb = np.clip(np.stack([a, np.roll(a, 1, 0), a.T], -1), 0, 255).astype(np.uint8)
+                if i % 3 == 0:
+                    rgb[36:60, 36:60] = rgb[4:28, 4:28]
+                data.append(rgb.tobytes())
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}.png" for i in ids]), pa.array([64] * n, pa.int32()), pa.array([64] * n, pa.int32()), pa.array(data, pa.binary())], ["entry_path", "height", "width", "rgb"])
+
+    return A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(draw, "entry_path string, height int, width int, rgb binary")
+
+
+@_query()
+def image_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signals and baselines over drawn images."""
+    got = tools.run_tools(_images(spark, sf_dir), [*tools.available("signal"), *tools.available("baseline")])
+    return got.select("entry_path", "level", "tool", F.round("score", 6).alias("score"), "details")
+
+
+@_query()
+def image_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tools.run_tools(_images(spark, sf_dir), tools.available("view"), arguments={"bit_planes": {"plane": 3}, "noise_residual": {"window": 5}})
+    return got.select("entry_path", "level", "tool", "score")
+
+
+@_query()
+def image_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error levels at all levels of the default suite; levels without a codec abstain."""
+    got = tools.run_tools(_images(spark, sf_dir), ["ela"], suite.DEFAULT_SUITE)
+    return got.groupBy("level").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.sum(F.col("details").contains("unsupported").cast("long")).alias("unsupported"))
