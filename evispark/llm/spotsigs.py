@@ -18,6 +18,9 @@ a table is its own successor; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,14 +74,25 @@ def printed(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
 
 
+def _place(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are not above the value, looked up in two levels."""
+    if not cuts:
+        return F.lit(0)
+    width = isqrt(len(cuts))
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  folded to a constant
+    upto = lambda a: F.size(F.filter(a, lambda c: c <= value))
+    group = upto(literal([g[0] for g in groups], "array<bigint>"))
+    within = F.transform(F.array(group), lambda g: F.when(g == 0, 0).otherwise((g - 1) * width + upto(F.element_at(literal(groups, "array<array<bigint>>"), F.greatest(g, F.lit(1))))))
+    return F.element_at(within, 1)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited forms, and the likeness to these and to the next document's."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(doc_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("k", [i / (4 * parts) for i in range(1, 4 * parts)], 40 * parts)).first()[0] or []  # numbers as many as buckets
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("k"))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", _place(F.col("k"), sorted(set(cuts))))
 
     # a bucket's successor is the next one that has rows, the first one's after the last
     lows = rows.groupBy("bucket").agg(F.min("k").alias("k"))
