@@ -26,12 +26,13 @@ def aspect_bucket(width: str = "width", height: str = "height") -> Column:
     return F.when(ratio < 0.75, "<0.75").when(ratio <= 1.33, "0.75-1.33").otherwise(">1.33")
 
 
-AXES = {"format": known("format"), "resolution": resolution_bucket(), "quality": quality_bucket(), "aspect": aspect_bucket(), "source": known("source")}
+def axes() -> dict[str, Column]:
+    return {"format": known("format"), "resolution": resolution_bucket(), "quality": quality_bucket(), "aspect": aspect_bucket(), "source": known("source")}
 
 
-def histograms(df: DataFrame, axes: dict[str, Column] | None = None) -> DataFrame:
+def histograms(df: DataFrame, by: dict[str, Column] | None = None) -> DataFrame:
     """(axis, bucket, label, n) of labelled entries, all axes in one pass."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), b.alias("bucket")) for a, b in (axes or AXES).items()]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), b.alias("bucket")) for a, b in (by or axes()).items()]))
     rows = df.where(F.col("label").isNotNull()).select("label", pairs.alias("x"))
     return rows.groupBy("x.axis", "x.bucket", "label").agg(F.count(F.lit(1)).alias("n"))
 
