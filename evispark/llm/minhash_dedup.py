@@ -5,9 +5,9 @@
    sets are one class from here on, so that copies never form pairs.
 2. Two sets with the wanted similarity agree in at least ``t`` coordinates (they miss
    that with a probability of MISS). So they agree in one of the first
-   COORDINATES - t + 1, the prefix: classes are posted under these (coordinate,
-   value) pairs only; lists with one class are dropped, and the other coordinates
-   are counted only for pairs that meet in a list ("skip").
+   COORDINATES - t + 1, the prefix: pairs meet in the lists of these (coordinate,
+   value) pairs only, and the other coordinates are counted only for pairs that meet
+   ("skip"). Lists with one class are dropped, and classes left in fewer than t lists.
 3. A shingle that one class alone has bounds all its similarities: a class with too
    few shared shingles has no links, and of two classes the bound is known at once.
 4. In each list all classes are held against one centre, the class of the most
@@ -156,7 +156,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """(cid, n, shingles): the full sets of classes, from their first documents' texts."""
+    """(cid, shingles): the full sets of classes, from their first documents' texts; twice or more where rows repeat, which does no harm."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -166,12 +166,12 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
             same = (want[0] == n) & (want[1] == one) & (want[2] == two)  # other documents of the same id
             first, last = np.searchsorted(doc, some[same]), np.searchsorted(doc, some[same], side="right")
             data = [sets[a:b].astype("<u8").tobytes() for a, b in zip(first, last, strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(some[same])), pa.array(n[same]), pa.array(data, pa.binary())], ["cid", "n", "shingles"])
+            return pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(some[same])), pa.array(data, pa.binary())], ["cid", "shingles"])
 
         return work
 
     rows = docs.select(doc_key().alias("k"), "text").join(classes.select("k", "cid", "n", "one", "two"), "k")
-    return map_batches(rows, make, "cid long, n long, shingles binary").dropDuplicates(["cid"])
+    return map_batches(rows, make, "cid long, shingles binary")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -226,15 +226,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = signed.where("n > 0").groupBy("n", "one", "two").agg(F.min("k").alias("k"), F.first("sig").alias("sig"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    def crowded(own: DataFrame) -> DataFrame:
-        """Prefix postings (slot, cid, n_slot) in lists of two classes and more."""
-        posted = own.select("cid", F.posexplode(F.slice("sig", 1, prefix)).alias("i", "v")).select(
+    def crowded(own: DataFrame, first: int) -> DataFrame:
+        """Postings (slot, cid, n_slot) of the first coordinates, in lists of two classes and more."""
+        posted = own.select("cid", F.posexplode(F.slice("sig", 1, first)).alias("i", "v")).select(
             "cid", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("slot")
         )
         lists = posted.groupBy("slot").agg(F.count(F.lit(1)).alias("n_slot")).where("n_slot > 1")
         return posted.join(lists, "slot")
 
-    meeting = crowded(classes).select("cid").distinct()
+    # a class in fewer lists than a match takes has no partner
+    meeting = crowded(classes, COORDINATES).groupBy("cid").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= need).select("cid")
     sets = materialise(full_sets(docs, classes.join(meeting, "cid"), words), "sets")
 
     def cut():
@@ -246,9 +247,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         return work
 
     alone = map_batches(sets.select("cid", "shingles"), cut, "cid long, shingle long", "shingles").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid")).where("n = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
-    linkable = classes.join(sets.select("cid"), "cid").join(alone, "cid", "left").select("cid", "n", "sig", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    linkable = classes.join(sets.select("cid").distinct(), "cid").join(alone, "cid", "left").select("cid", "n", "sig", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
     linkable = materialise(linkable.where(F.col("shared") * 100 >= F.col("n") * percent), "linkable")
-    postings = materialise(crowded(linkable), "postings")
+    postings = materialise(crowded(linkable, prefix), "postings")
 
     def passing(pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) whose bounds and matches allow the similarity."""
@@ -295,8 +296,11 @@ def digests(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, of each component the one with the smallest id (of several rows with that id all)."""
-    gone = near_duplicates(docs, words, percent).where("k <> root").select("k").distinct()
-    return docs.withColumn("_k", doc_key()).join(gone, F.col("_k") == gone.k, "left_anti").select(*docs.columns)
+    key = "_k"
+    while key in docs.columns:
+        key += "_"
+    gone = near_duplicates(docs, words, percent).where("k <> root").select(F.col("k").alias(key)).distinct()
+    return docs.withColumn(key, doc_key()).join(gone, key, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
