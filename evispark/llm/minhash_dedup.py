@@ -11,10 +11,12 @@
 3. A shingle that one class alone has bounds all its similarities: a class with too
    few shared shingles has no links, and of two classes the bound is known at once.
 4. In each list all classes are held against one centre, the class of the most
-   crowded lists, and confirmed on full sets; links give components. Only pairs of
-   classes that share a list, not a component, and pass bounds and the match
-   threshold are left; they are confirmed likewise. No pair within a component is
-   ever made, and no other pair is lost.
+   crowded lists, and confirmed on full sets; links give components. Two classes that
+   met the same centre are similar exactly if their differences from it have enough
+   in common, and those with a link left meet in the rarest elements of these
+   differences. What is left are pairs in a list one of which did not pass the match
+   threshold with the centre; they are matched and confirmed one by one. No pair
+   within a component is ever made, and no other pair is lost.
 5. Components come from contraction: every root hooks to its least neighbour until
    no link joins two roots. Each round is written to the shared folder.
 
@@ -174,13 +176,14 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return map_batches(rows, make, "cid long, shingles binary")
 
 
-def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+_MISSING = np.uint64(1)  # the lowest bit of an element of a difference tells what the centre has from what it lacks
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar on full sets. A class ``a`` of many pairs is copied to each FAN of them."""
+def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, similar, n_a, n_b, missing, diff) of pairs, on full sets: whether they are similar, how many shingles of a are missing in b, and what b lacks and has besides.
+
+    A class ``a`` of many pairs is copied to each FAN of them.
+    """
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fans"))
     spread = pairs.join(fans, "a").withColumn("fan", F.pmod(F.xxhash64("b"), F.col("fans")).cast("int"))
     heads = fans.join(sets, fans.a == sets.cid).select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.lit(None).cast("long").alias("b"), "shingles")
@@ -189,17 +192,54 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, head = None, np.empty(0, np.uint64)
         for batch in batches:
-            found_a, found_b = [], []
+            rows = []
             for a, fan, b, raw in zip(*(batch.column(c) for c in ("a", "fan", "b", "shingles")), strict=True):
                 data = np.frombuffer(raw.as_buffer(), "<u8")
                 if not b.is_valid:
                     key, head = (a.as_py(), fan.as_py()), data.copy()
-                elif key == (a.as_py(), fan.as_py()) and _similar(head, data, percent):
-                    found_a.append(a.as_py())
-                    found_b.append(b.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
-
-    return heads.unionByName(tails).repartition("a", "fan").sortWithinPartitions("a", "fan", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+                elif key == (a.as_py(), fan.as_py()):
+                    lacks, more = np.setdiff1d(head, data, assume_unique=True), np.setdiff1d(data, head, assume_unique=True)
+                    both = len(head) - len(lacks)
+                    similar = 100 * both >= percent * (len(data) + len(lacks))
+                    diff = np.concatenate([lacks | _MISSING, more & ~_MISSING]).view(np.int64)
+                    rows.append((a.as_py(), b.as_py(), similar, len(head), len(data), len(lacks), diff))
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "similar", "n_a", "n_b", "missing", "diff"])
+
+    dealt = heads.unionByName(tails).repartition("a", "fan").sortWithinPartitions("a", "fan", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long, similar boolean, n_a long, n_b long, missing long, diff array<long>")
+
+
+def links_around_centres(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): similar pairs of classes that were held against the same centre, at least one of which is not similar to it.
+
+    With m missing and r more shingles than the centre's n, let g = percent r + 100 m. Two such classes are similar if and only if their
+    differences have (g + g' - (100 - percent) n) / (100 + percent) elements in common. For a class that is not similar to the centre g
+    alone exceeds (100 - percent) n, so its partner's difference must have more than g' / (100 + percent) elements in common: the pair
+    meets in the rarest elements of both. Edits that one class alone has meet nothing, so no pair of a large group is made for them.
+    """
+    scale = 100 + percent
+    own = compared.select("a", "b", "similar", "diff", (percent * (F.col("n_b") - F.col("n_a") + F.col("missing")) + 100 * F.col("missing")).alias("g"), ((100 - percent) * F.col("n_a")).alias("room"))
+    own = own.join(roots.toDF("b", "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    elements = own.select("a", "b", F.explode("diff").alias("e"))
+    frequency = elements.groupBy("a", "e").agg(F.count(F.lit(1)).alias("df"))
+    ranked = elements.join(frequency, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("sorted"))
+    ranked = own.drop("diff").join(ranked, ["a", "b"])
+    size = F.size("sorted")
+
+    def posted(rows: DataFrame, length, names: dict[str, str]) -> DataFrame:
+        first = rows.select("a", "b", "root", "g", "room", F.explode(F.slice("sorted", F.lit(1), F.greatest(F.lit(0), length).cast("int"))).alias("p"))
+        return first.where("p.df > 1").select("a", F.col("p.e").alias("e"), *[F.col(c).alias(n) for c, n in names.items()])
+
+    least = F.ceil((F.col("g") - F.col("room")) / scale)
+    far = posted(ranked.where("not similar"), size - least + 1, {"b": "x", "root": "root_x", "g": "g_x", "room": "room"})
+    near = posted(ranked, size - F.floor(F.col("g") / scale), {"b": "y", "root": "root_y", "g": "g_y"})
+    met = far.join(near, ["a", "e"]).where((F.col("x") != F.col("y")) & (F.col("root_x") != F.col("root_y"))).select("a", "x", "y", "g_x", "g_y", "room").distinct()
+    diffs = own.select("a", "b", "diff")
+    both = met.join(diffs.toDF("a", "x", "diff_x"), ["a", "x"]).join(diffs.toDF("a", "y", "diff_y"), ["a", "y"])
+    common = F.size(F.array_intersect("diff_x", "diff_y"))
+    return both.where(scale * common >= F.col("g_x") + F.col("g_y") - F.col("room")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,33 +291,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     linkable = materialise(linkable.where(F.col("shared") * 100 >= F.col("n") * percent), "linkable")
     postings = materialise(crowded(linkable, prefix), "postings")
 
+    def may_link(n_a, n_b, shared_a, shared_b, sig_a, sig_b):
+        """Whether bounds and matches allow the similarity."""
+        both = F.least(shared_a, shared_b)
+        matches = F.size(F.filter(F.zip_with(sig_a, sig_b, lambda x, y: x == y), lambda x: x))
+        return (both * 100 >= (n_a + n_b - both) * percent) & (matches >= need)
+
     def passing(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) whose bounds and matches allow the similarity."""
+        """The pairs (a, b), once each, that may link."""
         one, two = (linkable.select(*(F.col(c).alias(f"{c}_{s}" if c != "cid" else s) for c in linkable.columns)) for s in "ab")
-        both = F.least("shared_a", "shared_b")
-        matches = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-        return pairs.distinct().join(one, "a").join(two, "b").where((both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent) & (matches >= need)).select("a", "b")
+        fits = may_link(*(F.col(f"{c}_{s}") for c in ("n", "shared", "sig") for s in "ab"))
+        return pairs.distinct().join(one, "a").join(two, "b").where(fits).select("a", "b")
 
     weight = postings.groupBy("cid").agg(F.sum("n_slot").alias("weight"))
     centre = postings.join(weight, "cid").groupBy("slot").agg(F.max(F.struct("weight", "cid")).cid.alias("a"))
     stars = materialise(passing(postings.join(centre, "slot").where("a <> cid").select("a", F.col("cid").alias("b"))), "stars")
-    links = materialise(confirm(stars, sets, percent), "links")
+    compared = materialise(compare(stars, sets, percent), "compared")
+    links = compared.where("similar").select("a", "b")
     roots = components(links)
 
+    # lists that still have several components: pairs of classes that were not both held against the list's centre
     placed = postings.join(roots, "cid", "left").select("slot", "cid", F.coalesce("root", "cid").alias("root"))
-    mixed = placed.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    # of a mixed list, classes outside the centre's component against all of other components
-    main = centre.join(roots, centre.a == roots.cid, "left").select("slot", F.coalesce("root", "a").alias("main"))
-    held = materialise(placed.join(mixed.select("slot"), "slot").join(main, "slot").join(linkable.select("cid", "n", "shared"), "cid"), "held")
-    out = held.where("root <> main").select("slot", F.col("cid").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("shared").alias("shared_x"))
-    both = F.least("shared", "shared_x")
-    rest = out.join(held, "slot").where(
-        ((F.col("root") == F.col("main")) | (F.col("x") < F.col("cid"))) & (F.col("root") != F.col("root_x")) & (both * 100 >= (F.col("n") + F.col("n_x") - both) * percent)
-    )
-    rest = rest.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b"))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirm(passing(rest).join(tried, ["a", "b"], "left_anti"), sets, percent)
-    roots = components(links.unionByName(more))
+    mixed = placed.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("slot")
+    held = placed.join(mixed, "slot").join(centre, "slot").join(stars.select("a", F.col("b").alias("cid"), F.lit(True).alias("met")), ["a", "cid"], "left")
+    held = held.withColumn("met", F.coalesce("met", F.col("a") == F.col("cid"))).join(linkable.select("cid", "n", "shared", "sig"), "cid")
+    held = materialise(held.select("slot", "cid", "root", "met", "n", "shared", "sig"), "held")
+    out = held.where("not met").select("slot", *[F.col(c).alias(f"{c}_x") for c in ("cid", "root", "n", "shared", "sig")])
+    once = F.col("met") | (F.col("cid_x") < F.col("cid"))
+    rest = out.join(held, "slot").where(once & (F.col("root") != F.col("root_x")) & may_link(F.col("n"), F.col("n_x"), F.col("shared"), F.col("shared_x"), F.col("sig"), F.col("sig_x")))
+    rest = materialise(rest.select(F.least("cid_x", "cid").alias("a"), F.greatest("cid_x", "cid").alias("b")).distinct(), "rest")
+    more = compare(rest, sets, percent).where("similar").select("a", "b")
+    roots = components(links.unionByName(links_around_centres(compared, roots, percent)).unionByName(more))
 
     named = classes.join(roots, "cid", "left").select("n", "one", "two", "k", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("k").alias("least"))
