@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -97,20 +98,23 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
+#: Letters that re.I takes for i, s and k, and str.lower() does not.
+_FOLDED = tuple(zip("İıſ\u212a", "iisk", strict=True))
+_FOLD = str.maketrans(dict(_FOLDED))
+_SPELLINGS = tuple(DIGIT_WORDS)
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _DIGIT_WORD = re.compile(rf"(?<!\w)(?:{_WORDS})(?!\w)", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORDS})(?:[ \-,]{{1,2}}(?:{_WORDS})){{2,}}(?!\w)", re.I)
 _SPELLED_IP = re.compile(rf"(?<!\w)(?:{_WORDS})(?:[ \-,]{{1,2}}(?:{_WORDS}))*(?:\s+(?:dot|punkt|point|punto)\s+(?:{_WORDS})(?:[ \-,]{{1,2}}(?:{_WORDS}))*){{3}}(?!\w)", re.I)
-_DOT_WORD = re.compile(r"dot|punkt|point|punto", re.I)
-#: Words of which every disguise without brackets has one.
-_CUES = frozenset(["dot", "punkt", "punto", "arroba", "plus"])
-_BRACKETED = re.compile(r"[\[({<]\s*(?:[aA][tT]|[aA][rR][rR][oO][bB][aA]|@|[dD][oO][tT]|[pP][uUoO][nNiI]|\.)\s*")
+_DOTS = ("dot", "punkt", "point", "punto")
+_DOT_WORD = re.compile("|".join(_DOTS), re.I)
+_BRACKETED = re.compile(rf"[\[({{<]\s*(?:at|arroba|@|{'|'.join(_DOTS)}|\.)")
 _AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*|(?<=\w)\s+(?:at|arroba)\s+(?=[\w-]+(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\.)[\w-])", re.I)
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|(?<=\w)\s+(?:dot|punkt|punto)\s+(?=\w)", re.I)
 _PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.I)
 _ODD = re.compile(f"[{re.escape(''.join([*HOMOGLYPHS, *sorted(INVISIBLE)]))}！-～٠-٩۰-۹०-९\U0001d7ce-\U0001d7ff]")
 
-Coded = tuple[str, list[int], list[int]]
+Coded = tuple[str, Sequence[int], Sequence[int]]
 
 
 def rewrite(coded: Coded, pattern: re.Pattern, to) -> Coded:
@@ -122,12 +126,16 @@ def rewrite(coded: Coded, pattern: re.Pattern, to) -> Coded:
         if new is None or m.start() == m.end():
             continue
         out += [text[at : m.start()], new]
-        b += begin[at : m.start()] + [begin[m.start()]] * len(new)
-        e += end[at : m.start()] + [end[m.end() - 1]] * len(new)
+        b += begin[at : m.start()]
+        b += [begin[m.start()]] * len(new)
+        e += end[at : m.start()]
+        e += [end[m.end() - 1]] * len(new)
         at = m.end()
     if not out:
         return coded
-    return "".join([*out, text[at:]]), b + begin[at:], e + end[at:]
+    b += begin[at:]
+    e += end[at:]
+    return "".join([*out, text[at:]]), b, e
 
 
 def _glyph(m: re.Match) -> str:
@@ -141,35 +149,50 @@ def _glyph(m: re.Match) -> str:
     return unicodedata.normalize("NFKC", c)
 
 
+def _digits(words: str) -> str:
+    return "".join(DIGIT_WORDS[x.translate(_FOLD).lower()] for x in _DIGIT_WORD.findall(words))
+
+
 def _spelled(m: re.Match) -> str:
-    return "".join(DIGIT_WORDS[x.lower()] for x in _DIGIT_WORD.findall(m[0]))
+    return _digits(m[0])
 
 
 def _spelled_ip(m: re.Match) -> str:
-    return ".".join("".join(DIGIT_WORDS[x.lower()] for x in _DIGIT_WORD.findall(part)) for part in _DOT_WORD.split(m[0]))
+    return ".".join(map(_digits, _DOT_WORD.split(m[0])))
+
+
+#: Patterns and what becomes of their matches, in order.
+STEPS = ((_ODD, _glyph), (_SPELLED_IP, _spelled_ip), (_SPELLED, _spelled), (_PLUS, lambda m: "+"), (_DOT, lambda m: "."), (_AT, lambda m: "@"))
+
+
+def hints(text: str) -> tuple[bool, ...]:
+    """For each step, whether its pattern can match. Each test asks for what the pattern itself demands, and no more:
+    three dot words, three digit words of which the middle one stands between blanks, "plus", a dot word or a dot
+    behind a bracket, "at" between blanks or behind a bracket."""
+    odd = not text.isascii()
+    low = text
+    if odd:
+        for a, b in _FOLDED:
+            low = low.replace(a, b)
+    low = low.lower()
+    dots = sum(map(low.count, _DOTS))
+    words = low.replace(",", " ").replace("-", " ").split()
+    spelled = not DIGIT_WORDS.keys().isdisjoint(words) and any(
+        w in DIGIT_WORDS and a.endswith(_SPELLINGS) and b.startswith(_SPELLINGS) for a, w, b in zip(words, words[1:], words[2:], strict=False)
+    )
+    bracket = _BRACKETED.search(low) is not None
+    return odd, dots > 2, spelled, "plus" in low, bracket or dots > 0, bracket or "arroba" in low or "at" in words
 
 
 def normalise(text: str) -> Coded:
-    coded: Coded = (text, list(range(len(text))), list(range(1, len(text) + 1)))
-    coded = rewrite(coded, _ODD, _glyph)
-    coded = rewrite(coded, _SPELLED_IP, _spelled_ip)
-    coded = rewrite(coded, _SPELLED, _spelled)
-    coded = rewrite(coded, _PLUS, lambda m: "+")
-    coded = rewrite(coded, _DOT, lambda m: ".")
-    return rewrite(coded, _AT, lambda m: "@")
-
-
-def disguised(text: str) -> bool:
-    """A quick test of whether the transducers could uncover an identifier. Punctuation may hide the words at
-    both ends of a spelled number from it, but identifiers without a cue are of nine digits and more."""
-    if not text.isascii() and _ODD.search(text):
-        return True
-    words = text.lower().replace(",", " ").replace("-", " ").split()
-    if not _CUES.isdisjoint(words):
-        return True
-    if b"\1\1\1" in bytes(map(DIGIT_WORDS.__contains__, words)):
-        return True
-    return _BRACKETED.search(text) is not None
+    coded: Coded = (text, range(len(text)), range(1, len(text) + 1))
+    may = hints(text)
+    for i, (pattern, to) in enumerate(STEPS):
+        if may[i]:
+            before, coded = coded, rewrite(coded, pattern, to)
+            if coded is not before:
+                may = hints(coded[0])
+    return coded
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -177,8 +200,6 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     base = plain(text)
-    if not disguised(text):
-        return base, base
     flat, begin, end = normalise(text)
     if flat == text:
         return base, base

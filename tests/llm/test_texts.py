@@ -130,6 +130,37 @@ def test_disguises_map_back_to_the_source(text, found):
     assert [(k, text[a:b]) for k, a, b in every] == found and set(base) <= set(every)
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("john at example.com", [("email", "john at example.com")]),
+        ("one zero point zero point zero point one", [("ip", "one zero point zero point zero point one")]),
+        ("(plus 49 30 1234567", [("phone", "plus 49 30 1234567")]),
+        ("Tel:plus 49 30 1234567", [("phone", "plus 49 30 1234567")]),
+        ("one ſıx two point one point two point nıne", [("ip", "one ſıx two point one point two point nıne")]),
+    ],
+)
+def test_disguises_need_no_cue_elsewhere(text, found):
+    for tail in ("", "; plus", "; dot", "; –", "; а"):
+        assert [(k, (text + tail)[a:b]) for k, a, b in pii.find(text + tail)[1]] == found
+
+
+def test_hints_leave_no_match_out(monkeypatch):
+    letters = set("".join([*pii.DIGIT_WORDS, "dotpunktpointpuntoatarrobaplus"]))
+    same = re.compile(f"[{''.join(letters)}]", re.I)
+    assert {chr(c) for c in range(0x110000) if same.match(chr(c)) and chr(c).translate(pii._FOLD).lower() not in letters} == set()
+    rng = random.Random(11)
+    parts = [*"()[]{}<>.,-@+ \t\n1a–а", *[" "] * 12, "at", "At", "arroba", "dot", "DOT", "punkt", "point", "punto", "plus", "un", "Six", "zwei", "cinq", "one", "nın", "ſix", "a.b", "12 34 567 89 10", "john", "com"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(3000)]
+    texts += [" ".join(rng.choices(parts[16:], k=rng.randint(1, 30))) for _ in range(3000)]
+    quick = [(pii.find(t), *pii.normalise(t)) for t in texts]
+    assert sum(flat != t for t, (_, flat, _, _) in zip(texts, quick, strict=True)) > 300
+    monkeypatch.setattr(pii, "hints", lambda text: (True,) * len(pii.STEPS))
+    for t, (found, flat, begin, end) in zip(texts, quick, strict=True):
+        whole = pii.normalise(t)
+        assert (found, flat, [*begin], [*end]) == (pii.find(t), whole[0], [*whole[1]], [*whole[2]]), t
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "+1" + "(" * 300_000, "a@" * 150_000):
         pii.find(text)
