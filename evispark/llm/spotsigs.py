@@ -2,8 +2,10 @@
 
 Every common word (an anchor) forms a signature with the next CHAIN content words,
 other anchors in between left out, at most LOOKAHEAD of them; the start of the text
-is an anchor too, so that each text with a content word has a signature. The
-fingerprint is the sorted set of the signatures' 64-bit hashes, its likeness to
+is an anchor too, so that each text with a content word has a signature. Where
+anchors are missing (tables, lists, code, other languages) every content word is one:
+in texts without any anchor and more than BARE words, and in runs of more than GAP
+content words, so that their signatures cover the whole length. The fingerprint is the sorted set of the signatures' 64-bit hashes, its likeness to
 another one their Jaccard index.
 
 Everything is DataFrame functions. Texts cross one shuffle, dealt to buckets by
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import doc_key, materialise, table
 
 CHAIN, LOOKAHEAD = 2, 3
+#: Content words that a text without anchors, and a run between two anchors, may have without signatures of their own.
+BARE, GAP = 10, 30
 THRESHOLD = 0.8
 # Common words of English, German, French and Spanish
 ANCHORS = (
@@ -57,7 +61,14 @@ def signatures(text: Column) -> Column:
         following = lambda i: F.array_join(F.slice(both["content"], i + 2, F.lit(LOOKAHEAD)), "")
         return F.transform(both["parts"], lambda part, i: F.substring_index(F.concat(part, following(i)), " ", CHAIN + 1))
 
-    found = _bound(parts, lambda p: _bound(F.struct(p.alias("parts"), F.transform(p, tail).alias("content")), chains))
+    def runs(both: Column) -> Column:
+        limit = F.when(F.size(both["parts"]) == 1, BARE).otherwise(GAP)
+        every = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(CHAIN + 1))))
+        none = F.array().cast("array<string>")
+        split = lambda c: _bound(F.split(F.ltrim(c), " "), lambda w: F.when(F.size(w) > limit, every(w)).otherwise(none))
+        return F.flatten(F.transform(both["content"], lambda c: F.when(F.length(c) > 2 * limit, split(c)).otherwise(none)))
+
+    found = _bound(parts, lambda p: _bound(F.struct(p.alias("parts"), F.transform(p, tail).alias("content")), lambda both: F.concat(chains(both), runs(both))))
     whole = F.filter(found, lambda c: F.instr(c, " ") > 0)  # an anchor without content words behind it has no signature
     return F.array_sort(F.array_distinct(F.transform(whole, lambda c: F.hash(c))))
 

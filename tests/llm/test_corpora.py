@@ -161,6 +161,16 @@ def test_fingerprints(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == expected and members.count() == sum(1 for _, t in rows if brute_signatures(t or ""))
 
 
+def test_fingerprints_cover_texts_without_anchors(spark):
+    cells = [f"cell{i}" for i in range(100)]
+    edits = [[*cells[:i], "other", *cells[i + 1 :]] for i in (2, 9, 50, 99)]
+    texts = [cells, *edits, cells[:11], [*cells[:10], "other"], ["the", *cells], ["the", *cells[:60], "other", *cells[61:]], [*cells[:50], "the", *cells[50:]]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sigs = {r.doc_id: set(r.sig) for r in df.select("doc_id", spotsigs.signatures(df["text"]).alias("sig")).collect()}
+    assert len({frozenset(x) for x in sigs.values()}) == len(texts)
+    assert len(sigs[0]) == 100 and all(like(sigs[0], sigs[i]) > 0.9 for i in (1, 2, 3, 4, 7, 8, 9))
+
+
 def test_fingerprints_of_odd_rows(odd, empty):
     rows = spotsigs.digests(odd).collect()
     assert len(rows) == odd.count()
