@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from evispark.llm import langid, minhash_dedup, packing, pii, suffix_dedup
 from evispark.llm.common import materialise, table
 
-#: Bytes of a repeated string that the third stage removes: about forty words, so that shared names and phrases stay.
-REPEAT_BYTES = 200
+#: Bytes of a repeated string that the third stage removes, as in op6: more than 50 words, blanks between them, never have fewer.
+REPEAT_BYTES = suffix_dedup.MIN_BYTES
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

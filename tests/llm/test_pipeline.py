@@ -27,6 +27,14 @@ def test_repeats_leave_the_first(spark):
     assert got[1].text == "a " + text and got[2].text == "b c" and got[3].text == "clean" and got[2].n_chars == 3
 
 
+def test_repeats_of_short_words_go(spark):
+    text = " ".join("abcdefghijklmnopq"[i % 17] for i in range(51))
+    assert 100 <= len(text) < 200
+    df = spark.createDataFrame([(1, "x " + text, "en", "s", 1), (2, "y " + text + " z", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, df, DATA).collect()}
+    assert got[1].startswith("x a b c d") and got[2] == "y z"
+
+
 def test_odd_rows(spark, odd, empty):
     for docs in (odd, empty):
         for name, stage in corpus_pipeline.STAGES:
