@@ -5,10 +5,10 @@ rewrites disguises: homoglyphs and other scripts' digits to ASCII, invisible
 characters to nothing, spelled digits to digits, and "at"/"dot" disguises to signs.
 Each carries, for every character it puts out, the source span it came from, so a
 find in the rewritten text maps back to code points of the source. Finds that
-touch a plain one are dropped: the plain one stays.
+lie within a plain one of their kind are dropped; plain ones stay beside longer ones.
 
 Edge cases: a null text is empty; an empty text has no spans; ties cannot occur, as
-spans of a kind do not overlap; repeated rows are handled independently and extra
+no two spans are equal; repeated rows are handled independently and extra
 columns are ignored. All scans take time in proportion to the text's length.
 """
 
@@ -203,11 +203,10 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     flat, begin, end = normalise(text)
     if flat == text:
         return base, base
-    taken = sorted((a, b) for _, a, b in base)
     added: list[Span] = []
     for kind, a, b in plain(flat):
         x, y = begin[a], end[b - 1]
-        if all(y <= s or x >= e for s, e in taken):
+        if not any(k == kind and s <= x and y <= e for k, s, e in base):
             added.append((kind, x, y))
     return base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

@@ -145,6 +145,14 @@ def test_disguises_need_no_cue_elsewhere(text, found):
         assert [(k, (text + tail)[a:b]) for k, a, b in pii.find(text + tail)[1]] == found
 
 
+def test_longer_finds_stay_beside_plain_ones():
+    text = "call +49 30 123456 seven eight nine now"
+    base, every = pii.find(text)
+    assert [text[a:b] for _, a, b in base] == ["+49 30 123456"] and set(base) < set(every)
+    assert "+49 30 123456 seven eight nine" in [text[a:b] for _, a, b in every]
+    assert pii.mask(text) == "call <phone> now"
+
+
 def test_hints_leave_no_match_out(monkeypatch):
     letters = set("".join([*pii.DIGIT_WORDS, "dotpunktpointpuntoatarrobaplus"]))
     same = re.compile(f"[{''.join(letters)}]", re.I)
