@@ -1,24 +1,39 @@
-"""Stupid-backoff language-model scores, computed by partitioned count tables.
-
-The model is of order two over the ids of a fixed tokenizer. With counts over all
-documents, a token ``w`` after ``v`` has the score count(vw) / count(v) if vw occurs
-MIN_COUNT times or more, else BACKOFF * count(w) / total; a document's first token
-has count(w) / total. A document's score is the sum of the tokens' logarithms to the
-base 10, each rounded to 1e-6, so that sums do not depend on their order.
-
-1. The ids are written once to the shared folder.
-2. Unigram counts have at most as many rows as the vocabulary, and pairs that make
-   up 1/HEAVY of all pairs or more are at most HEAVY (each is as heavy in some batch,
-   which gives the candidates): both are sent to all tasks. Heavy pairs are scored
-   where they stand, so no key of the shuffle holds more than a small share.
-3. All other pairs are exploded, counted for each document, and dealt by hash into
-   buckets of bounded size, packed. A bucket is count table and join in one: equal
-   pairs meet there, get their count and score, and are summed for each document.
-4. The buckets' and the heavy pairs' sums are added up for each document.
-
-Edge cases: a null or empty text, or one without tokens, has 0 tokens and a null
-score; rows are scored one by one even where they repeat or share an id; extra
-columns are ignored.
+"""Stupid-backoff language-model scores from n-gram count tables partitioned by hash.
+
+The model has the given order over the ids of a fixed tokenizer. A document is scored
+by what all *other* rows count: from each count its own share is taken away, as every
+n-gram of a document would otherwise be known from the document itself and nothing
+would ever back off. With these counts c, an id w after its context h (the order - 1
+ids before it, or as many as there are) has the score
+
+    S(w | h) = c(h w) / c(h)              if c(h w) > 0
+             = BACKOFF * S(w | h')        else, h' being h without its first id
+
+down to c(w) / N, where N counts all ids of other documents; an id that no other
+document has counts as one. A document's score is the sum of the logarithms to the
+base 10, each rounded to 1e-6, so that sums do not depend on their order. No n-gram
+is left out, however rare it is.
+
+The relations, from the second order up:
+
+1. ``encoded``: the ids, written once to the shared folder, a row for each chunk of
+   about CHUNK ids of whole documents.
+2. ``ngrams`` (chunk, order, n-gram, n): the n-grams of each chunk with their counts,
+   combined in the chunk before anything is shuffled.
+3. ``counted``: dealt by a hash of the n-gram, all chunks' rows of an n-gram meet in
+   one bucket of the count table, which adds them up and joins the sum to each row.
+4. ``score``: back at their chunk, the joined counts meet its exploded n-grams; each
+   document's own counts are taken away and the logarithms summed by document.
+
+An n-gram has one row in a chunk at most, so a hot one puts no more rows into its
+bucket than there are chunks. The rows of a bucket and a chunk travel as one, columns
+packed; buckets and chunks have bounded sizes, whatever the corpus. Counts of single
+ids have at most as many rows as the vocabulary and go to all tasks.
+
+Edge cases: a null or empty text, or one without ids, has 0 tokens and a null score;
+rows are scored one by one even where they repeat or share an id, and a repeated row
+knows its copies; one document alone has no others, so all its ids count as unknown;
+a text longer than a chunk is a chunk of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,194 +47,245 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec, tokenizer_path
-from .common import map_batches, materialise, table
+from .common import give_back, materialise, slices, table
 
-BACKOFF, MIN_COUNT = 0.4, 2
-#: A pair with this share of all pairs (1 / HEAVY) is scored without the shuffle.
-HEAVY = 2048
-#: Bytes of ids whose pairs make a bucket.
-BUCKET_BYTES = 3 << 20
+ORDER, BACKOFF = 3, 0.4
+#: Ids of a chunk, unless one document has more.
+CHUNK = 1 << 21
+#: Ids whose n-grams of one order make a bucket, before they are combined.
+BUCKET = 1 << 21
 VOCABULARY = 1 << 16
 UNIT = 1_000_000
+_CODEC = pa.Codec("zstd", 1)
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(row, doc_id, ids): little-endian 16-bit ids of every text, and a number for the row."""
-    path = path or tokenizer_path()
-
-    def make():
-        tool = codec(path)
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [np.frombuffer(tool.encode(t), "<u4") for t in batch.column("text").to_pylist()]
-            if any(len(i) and i.max() >= VOCABULARY for i in ids):
-                raise ValueError(f"the vocabulary has more than {VOCABULARY} ids")
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary())], ["doc_id", "ids"])
-
-        return work
+def packed(values: np.ndarray) -> bytes:
+    """An array's bytes, plane by plane, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + (_CODEC.compress(planes, asbytes=True) if planes else b"")
 
-    found = map_batches(docs.select("doc_id", "text"), make, "doc_id long, ids binary")
-    return materialise(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids"), "ids")
 
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    size, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(_CODEC.decompress(raw[8:], size), np.uint8) if size else np.empty(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch and each one's row in it."""
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), "<u2").astype(np.int64), np.repeat(np.arange(len(raw)), [len(r) // 2 for r in raw])
 
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(chunk, doc_ids, lengths, ids): whole documents, ids as 16-bit numbers."""
+    path = path or tokenizer_path()
 
-def _pairs(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbours (as first * VOCABULARY + second) within documents, and each one's row."""
-    same = doc[1:] == doc[:-1]
-    return ids[:-1][same] * VOCABULARY + ids[1:][same], doc[1:][same]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = codec(path)
+        held: list[np.ndarray] = []
+        names: list[int | None] = []
+        count = 0
 
+        def told() -> pa.RecordBatch:
+            flat = np.concatenate(held)
+            lengths = np.asarray([len(i) for i in held], np.uint32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([names], pa.list_(pa.int64())), pa.array([packed(lengths)], pa.binary()), pa.array([packed(flat)], pa.binary())], ["doc_ids", "lengths", "ids"]
+            )
 
-def _counted(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = keys.groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
-    return got["key"].to_numpy("int64"), got["n"].to_numpy("int64")
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for doc_id, text in zip(part.column("doc_id").cast(pa.int64()).to_pylist(), part.column("text").to_pylist(), strict=True):
+                    ids = np.frombuffer(tool.encode(text), "<u4")
+                    if len(ids) and ids.max() >= VOCABULARY:
+                        raise ValueError(f"the vocabulary has more than {VOCABULARY} ids")
+                    if held and count + len(ids) > CHUNK:
+                        yield told()
+                        held, names, count = [], [], 0
+                    held.append(ids.astype("<u2"))
+                    names.append(doc_id)
+                    count += len(ids)
+        if held:
+            yield told()
+        give_back()
 
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_ids array<long>, lengths binary, ids binary")
+    return materialise(found.select(F.monotonically_increasing_id().alias("chunk"), "doc_ids", "lengths", "ids"), "ids")
 
-def unigrams(ids: DataFrame) -> np.ndarray:
-    """Counts by id."""
 
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = np.bincount(_flat(batch.column("ids"))[0], minlength=1)
-            some = np.flatnonzero(n)
-            return pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["key", "n"])
+def unigrams(chunks: DataFrame) -> np.ndarray:
+    """Counts by id; the driver gets at most as many rows as the vocabulary has ids."""
 
-        return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(VOCABULARY, np.int64)
+        for batch in batches:
+            for raw in batch.column("ids").to_pylist():
+                n += np.bincount(unpacked(raw, "<u2"), minlength=VOCABULARY)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["id", "n"])
 
+    got = chunks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(VOCABULARY, np.int64)
-    key, n = _counted(map_batches(ids.select("ids"), make, "key long, n long", "ids"))
-    out[key] = n
+    out[got["id"].to_numpy("int64")] = got["n"].to_numpy("int64")
     return out
 
 
-def heavy_pairs(ids: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs with a share of 1 / HEAVY of all ``total`` ids or more, and their counts."""
-
-    def candidates():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            flat, doc = _flat(batch.column("ids"))
-            key, n = np.unique(_pairs(flat, doc)[0], return_counts=True)
-            key = key[n * HEAVY >= len(flat)]
-            return pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
-
-        return work
+def exploded(flat: np.ndarray, doc: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of that order within documents, as one number each, and the place where each ends."""
+    n = len(flat) - order + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    key = flat[:n].astype(np.int64)
+    for i in range(1, order):
+        key = key << 16 | flat[i : i + n]
+    inside = doc[:n] == doc[order - 1 :]
+    return key[inside], np.flatnonzero(inside) + order - 1
 
-    found = np.sort(map_batches(ids.select("ids"), candidates, "key long", "ids").distinct().toPandas()["key"].to_numpy("int64"))
 
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            key = _pairs(*_flat(batch.column("ids")))[0]
-            at = np.minimum(np.searchsorted(found, key), max(0, len(found) - 1))
-            at = at[found[at] == key] if len(found) else at[:0]
-            n = np.bincount(at, minlength=len(found))
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["key", "n"])
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
-        return work
 
-    key, n = _counted(map_batches(ids.select("ids"), make, "key long, n long", "ids"))
-    return key[n * HEAVY >= total], n[n * HEAVY >= total]
+def _chunk(lengths: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lengths of a chunk's documents, all ids, and each one's document."""
+    sizes = unpacked(lengths, "<u4").astype(np.int64)
+    return sizes, unpacked(ids, "<u2").astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
 
 
-def _log(share: np.ndarray) -> np.ndarray:
-    return np.rint(np.log10(share) * UNIT).astype(np.int64)
+NGRAMS = "bucket long, chunk long, order int, keys binary, times binary"
 
 
-def pair_logs(key: np.ndarray, n: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """Scores of pairs that occur n times, in units of 1 / UNIT."""
-    seen = n >= MIN_COUNT
-    return _log(np.where(seen, n / np.maximum(1, single[key // VOCABULARY]), BACKOFF * single[key % VOCABULARY] / single.sum()))
+def ngrams(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """The distinct n-grams of the orders from 2 of each chunk and their counts: a row for all those of one order and bucket."""
 
-
-def score(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, log10_score, log10_per_token) of every document."""
-    spark = docs.sparkSession
-    ids = encoded(docs, path)
-    single = unigrams(ids)
-    total = int(single.sum())
-    heavy, heavy_n = heavy_pairs(ids, total)
-    model = spark.sparkContext.broadcast((single, heavy, heavy_n))  # at most 512 kB and 16 bytes for each of HEAVY pairs
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(2 * total / BUCKET_BYTES))
-
-    def exploded():
-        single, heavy, heavy_n = model.value
-        heavy_log = pair_logs(heavy, heavy_n, single)
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            """A row for each bucket: its rows' numbers, how many pairs each has, the pairs and their counts; in bucket -1 the sums that are known already."""
-            rows = batch.column("row").to_numpy()
-            flat, doc = _flat(batch.column("ids"))
-            key, of = _pairs(flat, doc)
-            sums = np.zeros(len(rows), np.int64)
-            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
-            sums[doc[first]] = _log(single[flat[first]] / single.sum())
-            if len(heavy):
-                at = np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)
-                known = heavy[at] == key
-                np.add.at(sums, of[known], heavy_log[at[known]])
-                key, of = key[~known], of[~known]
-            spread = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
-            order = np.lexsort((key, of, spread))
-            key, of, spread = key[order], of[order], spread[order].astype(np.int64)
-            new = np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))[: len(key)]
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(key)))
-            key, of, spread = key[at], of[at], spread[at]
-            run = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (spread[1:] != spread[:-1]))[: len(key)])  # a document's part of a bucket
-            size = np.diff(np.append(run, len(key)))
-            cut = np.flatnonzero(np.append(True, np.diff(spread[run]) != 0)[: len(run)])  # a bucket
-            ends = np.append(cut[1:], len(run))[: len(cut)]
-            tokens = np.bincount(doc, minlength=len(rows))
-            out = [(-1, rows.astype("<i8").tobytes(), tokens.astype("<u4").tobytes(), sums.astype("<i8").tobytes(), b"")]
-            for a, b in zip(cut, ends, strict=True):
-                lo, hi = run[a], run[b - 1] + size[b - 1]
-                out.append((int(spread[lo]), rows[of[run[a:b]]].astype("<i8").tobytes(), size[a:b].astype("<u4").tobytes(), key[lo:hi].astype("<u4").tobytes(), np.minimum(times[lo:hi], 0xFFFFFFFF).astype("<u4").tobytes()))
-            kinds = [pa.int32(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "rows", "sizes", "keys", "times"])
-
-        return work
-
-    dealt = map_batches(ids.select("row", "ids"), exploded, "bucket int, rows binary, sizes binary, keys binary, times binary", "ids")
-    spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("rows"), F.lit(buckets)).cast("int"))
-    dealt = dealt.withColumn("bucket", spread).repartition("bucket").sortWithinPartitions("bucket")
-
-    def solve(bucket: int, blobs: list[tuple[bytes, ...]], single: np.ndarray) -> pa.RecordBatch:
-        rows, sizes = np.frombuffer(b"".join(b[0] for b in blobs), "<i8"), np.frombuffer(b"".join(b[1] for b in blobs), "<u4").astype(np.int64)
-        if bucket < 0:
-            sums, tokens = np.frombuffer(b"".join(b[2] for b in blobs), "<i8"), sizes
-        else:
-            key, times = np.frombuffer(b"".join(b[2] for b in blobs), "<u4").astype(np.int64), np.frombuffer(b"".join(b[3] for b in blobs), "<u4").astype(np.int64)
-            distinct, where = np.unique(key, return_inverse=True)
-            n = np.zeros(len(distinct), np.int64)
-            np.add.at(n, where, times)
-            each = pair_logs(distinct, n, single)[where] * times
-            sums = np.add.reduceat(each, np.cumsum(sizes) - sizes)
-            order = np.argsort(rows, kind="stable")
-            new = np.flatnonzero(np.append(True, np.diff(rows[order]) != 0))
-            rows, sums = rows[order][new], np.add.reduceat(sums[order], new)
-            tokens = np.zeros(len(rows), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(tokens), pa.array(sums)], ["row", "tokens", "sum"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single = model.value[0]
-        held: list[tuple[bytes, ...]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec.cache_clear()  # what this worker may have kept of the tokenizer
+        for batch in batches:
+            for chunk, lengths, ids in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lengths", "ids")), strict=True):
+                _, flat, doc = _chunk(lengths, ids)
+                for k in range(2, order + 1):
+                    keys, times = np.unique(exploded(flat, doc, k)[0], return_counts=True)
+                    where = bucket_of(keys, buckets)
+                    by = np.argsort(where, kind="stable")
+                    keys, times, where = keys[by], times[by].astype("<u4"), where[by]
+                    cuts = np.flatnonzero(np.append(True, np.diff(where) != 0)[: len(where)]).tolist()
+                    ends = [*cuts[1:], len(where)]
+                    rows = [(int(where[a]), chunk, k, packed(np.diff(keys[a:b], prepend=0)), packed(times[a:b])) for a, b in zip(cuts, ends, strict=False) if a < b]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "order", "keys", "times"]
+                        )
+        give_back()
+
+    return chunks.select("chunk", "lengths", "ids").mapInArrow(run, NGRAMS)
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """The rows' n-grams joined with their counts in all chunks: (chunk, order, bucket, totals), in the order of the rows' keys."""
+
+    def solve(order: int, bucket: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        each = [np.cumsum(unpacked(k, "<i8")) for _, k, _ in held]
+        _, where = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate([unpacked(t, "<u4") for _, _, t in held])).astype("<u8")[where]
+        cuts = np.cumsum([len(k) for k in each])[:-1]
+        n = len(held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c for c, _, _ in held], pa.int64()), pa.array([order] * n, pa.int32()), pa.array([bucket] * n, pa.int64()), pa.array([packed(t) for t in np.split(total, cuts)], pa.binary())],
+            ["chunk", "order", "bucket", "totals"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes, bytes]] = []
         now = None
         for batch in batches:
-            for bucket, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now and held:
-                    yield solve(now, held, single)
+            for bucket, order, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "order", "chunk", "keys", "times")), strict=True):
+                if (order, bucket) != now and held:
+                    yield solve(*now, held)
                     held = []
-                now = bucket
-                held.append(tuple(blob))
+                now = order, bucket
+                held.append(tuple(row))
         if held:
-            yield solve(now, held, single)
-
-    sums = dealt.mapInArrow(scan, "row long, tokens long, sum long").groupBy("row").agg(F.sum("tokens").alias("n_tokens"), F.sum("sum").alias("sum"))
-    value = F.when(F.col("n_tokens") > 0, F.col("sum") / UNIT)
-    return ids.select("row", "doc_id").join(sums, "row").select("doc_id", "n_tokens", value.alias("log10_score"), (value / F.col("n_tokens")).alias("log10_per_token"))
+            yield solve(*now, held)
+        give_back()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "bucket", "order").sortWithinPartitions("bucket", "order").mapInArrow(run, "chunk long, order int, bucket long, totals binary")
+
+
+def log_shares(part: np.ndarray, whole: np.ndarray | int, backed: np.ndarray) -> np.ndarray:
+    """Rounded logarithms of part / whole after ``backed`` steps of backoff, in units of 1 / UNIT."""
+    return np.rint(np.log10(BACKOFF**backed * part / whole) * UNIT).astype(np.int64)
+
+
+def _others(key: np.ndarray, doc: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """What other documents count of each exploded n-gram, numbered ``key``: its total without what its own document has."""
+    _, where, own = np.unique(doc << 32 | key, return_inverse=True, return_counts=True)
+    return total[key] - own[where]
+
+
+def chunk_scores(sizes: np.ndarray, flat: np.ndarray, doc: np.ndarray, totals: dict[int, np.ndarray], single: np.ndarray, order: int, buckets: int) -> np.ndarray:
+    """The score of each document of a chunk, in units of 1 / UNIT; totals: the counts of the chunk's n-grams by order, bucket by bucket."""
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    longest = np.minimum(place, order - 1)  # ids of the context at most
+    below = _others(flat, doc, single)  # of the n-gram one shorter, by the place where it ends
+    known = np.maximum(below, 1)
+    out = log_shares(known, np.maximum(single.sum() - sizes[doc], 1), longest)
+    for k in range(2, order + 1):
+        keys, ends = exploded(flat, doc, k)
+        distinct, number = np.unique(keys, return_inverse=True)
+        total = np.empty(len(distinct), np.int64)
+        if len(distinct):
+            total[np.argsort(bucket_of(distinct, buckets), kind="stable")] = totals[k]
+        count = np.zeros(len(flat), np.int64)
+        count[ends] = _others(number, doc[ends], total)
+        seen = ends[count[ends] > 0]
+        out[seen] = log_shares(count[seen], below[seen - 1], longest[seen] - (k - 1))
+        below = count
+    sums = np.zeros(len(sizes), np.int64)
+    np.add.at(sums, doc, out)
+    return sums
+
+
+def score(docs: DataFrame, path: str | None = None, order: int = ORDER) -> DataFrame:
+    """(doc_id, n_tokens, log10_score, log10_per_token) of every document."""
+    if not 2 <= order <= 4:
+        raise ValueError("the order must be from 2 to 4")
+    spark = docs.sparkSession
+    chunks = encoded(docs, path)
+    single = unigrams(chunks)
+    buckets = max(1, ceil(int(single.sum()) / BUCKET))
+    shared = spark.sparkContext.broadcast(single)  # 512 kB
+    joined = counted(ngrams(chunks, order, buckets))
+    kinds = {"doc_ids": "array<long>", "lengths": "binary", "ids": "binary", "order": "int", "bucket": "long", "totals": "binary"}
+    both = [t.select("chunk", *[F.col(c) if c in t.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]) for t in (chunks, joined)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = both[0].unionByName(both[1]).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("order").asc_nulls_first(), "bucket")
+
+    def solve(own: tuple, told: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+        names, lengths, ids = own
+        sizes, flat, doc = _chunk(lengths, ids)
+        totals = {k: np.concatenate(v).astype(np.int64) for k, v in told.items()}
+        sums = chunk_scores(sizes, flat, doc, totals, shared.value, order, buckets)
+        some = sizes > 0
+        value = np.where(some, sums / UNIT, np.nan)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int64()), pa.array(sizes), pa.array(value, mask=~some), pa.array(value / np.maximum(sizes, 1), mask=~some)], ["doc_id", "n_tokens", "log10_score", "log10_per_token"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple = ()
+        told: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for names, lengths, ids, k, totals in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "lengths", "ids", "order", "totals")), strict=True):
+                if k is not None:
+                    told.setdefault(k, []).append(unpacked(totals, "<u8"))
+                    continue
+                if own:
+                    yield solve(own, told)
+                own, told = (names, lengths, ids), {}
+        if own:
+            yield solve(own, told)
+        give_back()
+
+    return met.mapInArrow(run, "doc_id long, n_tokens long, log10_score double, log10_per_token double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,38 +205,100 @@ def test_language(spark, odd, empty):
     got = langid.predict(df, langid.learn(langid.training_rows(df))).collect()
     assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in got)
     model = langid.learn(langid.training_rows(df))
-    odd_rows = {r.text: r for r in langid.predict(odd.drop("score"), model).collect()}
+    odd_rows = {r.text: r for r in langid.predict(odd, model).collect()}
     assert all(odd_rows[t].lang_pred == "und" and odd_rows[t].score == 0 for t in (None, "", " \n\t ", "12345 !!! ---"))
     nothing = langid.learn(langid.training_rows(empty))
-    assert {r.lang_pred for r in langid.predict(odd.drop("score"), nothing).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
     assert langid.accept(odd).columns == odd.columns and langid.accept(empty).count() == 0
 
 
+def test_language_equals_counting(spark):
+    """Grams by share in plain sets, and the most frequent language by their counts; a long text is cut into pieces and agrees."""
+    rng = random.Random(9)
+    letters = {"aa": "abcdef", "bb": "defghi", "cc": "ghijabÉß"}
+    word = {x: ["".join(rng.choices(c, k=rng.randint(1, 7))) for _ in range(200)] for x, c in letters.items()}
+    rows = [(i, " ".join(rng.choices(word[x] + (word["aa"] if i % 7 == 0 else []), k=rng.randint(1, 60))) + rng.choice(["", "!", " 12-"]), x) for i, x in enumerate(list(word) * 60)]
+    rows.append((1000, "".join(rng.choices(letters["bb"] + "  .İ", k=3 * langid.PIECE + 17)), "bb"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+
+    def grams(text):
+        c = "".join(x if x.isalpha() else " " for x in f" {text.lower()} ")
+        return [c[i - 1 : i + 2] for i in range(1, len(c) - 1) if c[i] != " "]
+
+    counts = {x: defaultdict(int) for x in word}
+    for _, text, x in learned:
+        for g in grams(text):
+            counts[x][g] += 1
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    most = defaultdict(float)
+    for c in share.values():
+        for g, p in c.items():
+            most[g] = max(most[g], p)
+    known = {x: {g for g, p in c.items() if p >= langid.RATIO * most[g]} for x, c in share.items()}
+    got = {r.doc_id: r for r in langid.predict(df, langid.learn(langid.training_rows(df))).collect()}
+    for i, text, _ in rows:
+        own = grams(text)
+        hits = sorted(((sum(g in known[x] for g in own), x) for x in known), reverse=True)
+        assert got[i].score == pytest.approx(hits[0][0] / len(own), abs=2e-3)
+        if hits[0][0] > hits[1][0] + 0.01 * len(own):
+            assert got[i].lang_pred == hits[0][1]
+
+
 def test_filter_false_positives_are_as_expected():
     f = langid.Filter(["a", "b"])
     codes = np.random.default_rng(0).permutation(1 << langid.GRAM_BITS)
-    f.add(codes[:200_000], np.zeros(200_000, np.int64))
+    f.add(codes[:200_000], np.zeros(200_000, np.int64), np.ones(200_000, np.uint64))
     hits = f.hits(codes[300_000:400_000], np.zeros(100_000, np.int64), 1)[0]
     assert f.hits(codes[:1000], np.zeros(1000, np.int64), 1)[0, 0] == 1000
     assert hits[0] / 100_000 == pytest.approx(f.false_positives()[0], rel=0.1) and hits[1] == 0
 
 
-def test_lm_scores_equal_counting(odd, empty, library):
+def lm_brute(texts, order):
+    """Scores of lists of ids, each by the counts of the others."""
     from collections import Counter
 
-    got = sorted(((r.doc_id, r.n_tokens, r.log10_score) for r in lm_score.score(odd).collect()), key=repr)
-    ids = [(r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids) for r in odd.collect()]
-    single = Counter(x for _, v in ids for x in v)
-    pair = Counter(p for _, v in ids for p in zip(v, v[1:], strict=False))
-    total = sum(single.values())
-
-    def log(x):
-        return round(np.log10(x) * lm_score.UNIT)
+    grams = lambda v: Counter(tuple(v[i : i + k]) for k in range(1, order + 1) for i in range(len(v) - k + 1))
+    each = [grams(v) for v in texts]
+    total = Counter()
+    for g in each:
+        total.update(g)
+    size = sum(map(len, texts))
+    out = []
+    for v, g in zip(texts, each, strict=True):
+        c = lambda x: total[x] - g[x]  # noqa: B023, E731
+        value = 0
+        for i, w in enumerate(v):
+            for back, k in enumerate(range(min(i, order - 1), -1, -1)):
+                h, hw = tuple(v[i - k : i]), tuple(v[i - k : i + 1])
+                if k == 0:
+                    share = max(c((w,)), 1) / max(size - len(v), 1)
+                elif c(hw) > 0:
+                    share = c(hw) / c(h)
+                else:
+                    continue
+                value += round(np.log10(lm_score.BACKOFF**back * share) * lm_score.UNIT)
+                break
+        out.append(value / lm_score.UNIT if v else None)
+    return out
 
-    def value(v):
-        if not v:
-            return None
-        return (log(single[v[0]] / total) + sum(log(pair[p] / single[p[0]] if pair[p] >= 2 else 0.4 * single[p[1]] / total) for p in zip(v, v[1:], strict=False))) / lm_score.UNIT
 
-    assert got == sorted(((d, len(v), value(v)) for d, v in ids), key=repr)
-    assert lm_score.score(empty).count() == 0
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores_equal_counting(odd, empty, library, order):
+    rows = odd.collect()
+    ids = [library.encode(r.text or "", add_special_tokens=False).ids for r in rows]
+    expected = [(r.doc_id, len(v), x) for r, v, x in zip(rows, ids, lm_brute(ids, order), strict=True)]
+    got = [(r.doc_id, r.n_tokens, r.log10_score) for r in lm_score.score(odd, order=order).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert lm_score.score(empty, order=order).count() == 0
+
+
+def test_lm_scores_over_many_chunks_and_buckets(spark, library, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK", 300)
+    monkeypatch.setattr(lm_score, "BUCKET", 900)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["the", "cat", "sat", "zebra", "on", "mat", "xyz"], weights=[9, 4, 3, 1, 5, 2, 1], k=rng.randint(0, 90)))) for i in range(150)] + [(3, "the cat sat")] * 2
+    ids = [library.encode(t, add_special_tokens=False).ids for _, t in rows]
+    expected = [(d, len(v), x) for (d, _), v, x in zip(rows, ids, lm_brute(ids, 3), strict=True)]
+    got = [(r.doc_id, r.n_tokens, r.log10_score) for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
