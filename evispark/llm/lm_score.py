@@ -178,7 +178,7 @@ def ngrams(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
     return chunks.select("chunk", "lengths", "ids").mapInArrow(run, NGRAMS)
 
 
-def counted(rows: DataFrame) -> DataFrame:
+def counted(rows: DataFrame, buckets: int) -> DataFrame:
     """The rows' n-grams joined with their counts in all chunks: (chunk, order, bucket, totals), in the order of the rows' keys."""
 
     def solve(order: int, bucket: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
@@ -206,7 +206,7 @@ def counted(rows: DataFrame) -> DataFrame:
             yield solve(*now, held)
         give_back()
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 2)
     return rows.repartition(parts, "bucket", "order").sortWithinPartitions("bucket", "order").mapInArrow(run, "chunk long, order int, bucket long, totals binary")
 
 
@@ -253,10 +253,10 @@ def score(docs: DataFrame, path: str | None = None, order: int = ORDER) -> DataF
     single = unigrams(chunks)
     buckets = max(1, ceil(int(single.sum()) / BUCKET))
     shared = spark.sparkContext.broadcast(single)  # 512 kB
-    joined = counted(ngrams(chunks, order, buckets))
+    joined = counted(ngrams(chunks, order, buckets), buckets)
     kinds = {"doc_ids": "array<long>", "lengths": "binary", "ids": "binary", "order": "int", "bucket": "long", "totals": "binary"}
     both = [t.select("chunk", *[F.col(c) if c in t.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]) for t in (chunks, joined)]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(single.sum()) // (2 * CHUNK))
     met = both[0].unionByName(both[1]).repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("order").asc_nulls_first(), "bucket")
 
     def solve(own: tuple, told: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
