@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LOCAL_CHECKPOINT_DIR = "/tmp/evispark-checkpoints"
-#: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a Python worker handles at a time; numpy's temporaries are some dozen times as large.
+SLICE_BYTES = 1 << 19
 
 DOCUMENTS = T.StructType(
     [
@@ -31,8 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of this machine where it is unset and Spark runs on this machine alone (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (path or LOCAL_CHECKPOINT_DIR).rstrip("/")
 
 
@@ -41,7 +44,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evispark/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Removes tables that ``materialise`` wrote and nothing reads any more."""
+    for df in written:
+        if path := getattr(df, "written_to", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that an idle worker doesn't hold what its last task used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def map_batches(
@@ -49,21 +72,23 @@ def map_batches(
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
     schema: T.StructType | str,
     text_col: str | None = "text",
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """mapInArrow in slices of at most SLICE_BYTES of ``text_col``; ``make`` runs once per task and returns the slice function."""
+    """mapInArrow in slices of at most ``slice_bytes`` of ``text_col``; ``make`` runs once per task and returns the slice function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, slice_bytes):
                 out = work(part)
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text_col: str | None) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_col: str | None, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     if text_col is None or batch.num_rows <= 1:
         if batch.num_rows:
             yield batch
@@ -72,7 +97,7 @@ def slices(batch: pa.RecordBatch, text_col: str | None) -> Iterator[pa.RecordBat
     sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > SLICE_BYTES:
+        if i > start and total + n > slice_bytes:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(n)

@@ -8,17 +8,25 @@ filling of each language's slice lets expect.
 
 An n-gram is three characters around a letter (lower-cased; other characters are
 blanks), as one of 2**GRAM_BITS codes, so that counts and filter have a size that
-does not grow with the corpus. A language contains an n-gram that it uses at least
-RATIO times as often as the language that uses it most.
+does not grow with the corpus. A language contains an n-gram if it uses it at least
+``ratio`` times as often, by share, as the language that uses it most: the same rule
+at every size. With 0 every n-gram seen once counts; a large corpus, in which each
+language quotes the others, has then nearly all n-grams in all languages.
+
+Texts are handled PIECE characters at a time, long ones in pieces that overlap by the
+characters around a letter, so memory does not depend on a text's length. Python gets
+the texts alone; the other columns stay in the JVM. Counts are combined in a task, and
+the driver gets one row for each code and 64 languages.
 
 Edge cases: a null or empty text, or one without letters, is ``und`` with score 0, as
 are all texts if nothing was learned; ties go to the first language in sorted order;
 rows without id or language are not learned from; repeated rows count each time;
-extra columns are ignored.
+extra columns are kept, but for those named as the two results, which are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,15 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import materialise, table
 
 UNKNOWN = "und"
 GRAM_BITS = 20
 #: Words of the filter and positions of an n-gram in it.
 SLOTS, HASHES = 1 << 20, 3
-MIN_COUNT, RATIO = 3, 0.2
+RATIO = 0.2
 #: The pipeline rejects texts whose score is below.
 MIN_SCORE = 0.3
+#: Characters handled at a time.
+PIECE = 1 << 18
+#: Languages whose counts a task holds at a time.
+HELD = 16
 
 
 @lru_cache(maxsize=1)
@@ -44,19 +56,44 @@ def _letters() -> np.ndarray:
     return out
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams of all texts, one for each letter, and each one's text."""
-    parts = [(t or "").lower() for t in texts]
-    joined = "  ".join(["", *parts, ""]).encode("utf-32-le", "surrogatepass")
-    c = np.frombuffer(joined, np.uint32)
-    letter = _letters()[c]
-    c = np.where(letter, c, 32).astype(np.uint64)
-    mid = np.flatnonzero(letter)
-    h = c[mid - 1] * np.uint64(0x9E3779B97F4A7C15) + c[mid] * np.uint64(0xC2B2AE3D27D4EB4F) + c[mid + 1] * np.uint64(0x165667B19E3779F9)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    begins = np.cumsum([2, *(len(p) + 2 for p in parts)])
-    return (h >> np.uint64(64 - GRAM_BITS)).astype(np.int64), np.searchsorted(begins, mid, side="right") - 1
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[str], list[int], list[int]]]:
+    """Lower-cased texts in lots of about PIECE characters, with each one's number and how many characters at its end only surround others.
+
+    A piece that continues a text begins with the character before it, in place of a blank.
+    """
+    lot, number, tail, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        for at in range(0, len(low), PIECE):
+            end = min(at + PIECE, len(low))
+            lot.append((low[at - 1] if at else " ") + low[at : end + 1])
+            number.append(i)
+            tail.append(int(end < len(low)))
+            size += end - at
+            if size >= PIECE:
+                yield lot, number, tail
+                lot, number, tail, size = [], [], [], 0
+    if lot:
+        yield lot, number, tail
+
+
+def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of the n-grams of all texts, one for each letter, and each one's text, a lot at a time."""
+    for lot, number, tail in pieces(texts):
+        c = np.frombuffer(" ".join([*lot, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[c]
+        centre = letter.copy()
+        begins = np.cumsum([0, *(len(p) + 1 for p in lot)])
+        centre[begins[:-1]] = False  # the character before a piece
+        centre[begins[1:][np.asarray(tail) > 0] - 2] = False  # the one after it
+        c = np.where(letter, c, np.uint32(32)).astype(np.uint64)
+        mid = np.flatnonzero(centre)
+        h = c[mid - 1] * np.uint64(0x9E3779B97F4A7C15)
+        h += c[mid] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h += c[mid + 1] * np.uint64(0x165667B19E3779F9)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        yield (h >> np.uint64(64 - GRAM_BITS)).astype(np.int64), np.asarray(number)[np.searchsorted(begins, mid, side="right") - 1]
 
 
 def positions(codes: np.ndarray) -> list[np.ndarray]:
@@ -75,9 +112,10 @@ class Filter:
         self.languages = languages
         self.words = np.zeros((-(-len(languages) // 64), SLOTS), np.uint64)
 
-    def add(self, codes: np.ndarray, language: np.ndarray) -> None:
+    def add(self, codes: np.ndarray, part: np.ndarray, masks: np.ndarray) -> None:
+        """Puts n-grams into the slice ``part`` for the languages of their masks."""
         for at in positions(codes):
-            np.bitwise_or.at(self.words, (language // 64, at), np.uint64(1) << (language % 64).astype(np.uint64))
+            np.bitwise_or.at(self.words, (part, at), masks)
 
     def false_positives(self) -> np.ndarray:
         """Of each language, the probability that an n-gram it lacks passes."""
@@ -96,70 +134,94 @@ class Filter:
                 out[:, 64 * s + bit] = np.bincount(doc, weights=(mask >> np.uint64(bit)) & np.uint64(1), minlength=count)
         return out
 
+    def decide(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Language and score of each text."""
+        count = len(texts)
+        pred, score = np.full(count, UNKNOWN, object), np.zeros(count)
+        if not self.languages or not count:
+            return pred, score
+        found, total = np.zeros((count, len(self.languages))), np.zeros(count)
+        for codes, doc in grams(texts):
+            low = int(doc.min()) if len(doc) else 0
+            span = int(doc.max()) + 1 - low if len(doc) else 0
+            total[low : low + span] += np.bincount(doc - low, minlength=span)
+            found[low : low + span] += self.hits(codes, doc - low, span)
+        wrong = self.false_positives()
+        right = (found - total[:, None] * wrong) / np.maximum(1 - wrong, 1e-9)
+        best = right.argmax(1)
+        some = total > 0
+        pred[some] = np.asarray(self.languages, object)[best[some]]
+        score[some] = np.clip(right[some, best[some]] / total[some], 0, 1)
+        return pred, score
+
 
 def held_out() -> F.Column:
     """Whether a document is kept from learning; a null id is neither learned from nor held out."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
 
 
-def learn(training: DataFrame) -> Filter:
-    """The filter of (text, lang) rows. Counts are of at most 2**GRAM_BITS codes a language, as is what the driver gets."""
+def counts(training: DataFrame) -> DataFrame:
+    """(lang, code, n) of (text, lang) rows: a task adds up its counts, at most 2**GRAM_BITS for each of HELD languages at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, n in held.items():
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], ["lang", "code", "n"])
+            held.clear()
 
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        for batch in batches:
             langs = batch.column("lang").to_pylist()
-            names = sorted(set(langs))
-            number = np.asarray([names.index(x) for x in langs])
-            codes, doc = grams(batch.column("text").to_pylist())
-            counts = np.bincount(number[doc] << GRAM_BITS | codes, minlength=1)
-            some = np.flatnonzero(counts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()).take(pa.array(some >> GRAM_BITS)), pa.array((some & ((1 << GRAM_BITS) - 1)).astype(np.int32)), pa.array(counts[some])], ["lang", "code", "n"]
-            )
-
-        return work
-
-    counts = map_batches(training.select("text", "lang"), make, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counts["lang"].unique())
-    out = Filter(languages)
-    if languages:
-        number = counts["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-        code, n = counts["code"].to_numpy(), counts["n"].to_numpy()
-        share = n / np.bincount(number, weights=n)[number]
-        most = np.zeros(1 << GRAM_BITS)
-        np.maximum.at(most, code, share)
-        keep = (n >= MIN_COUNT) & (share >= RATIO * most[code])
-        out.add(code[keep], number[keep])
+            for lang in sorted(set(langs)):
+                if lang not in held:
+                    if len(held) == HELD:
+                        yield from told()
+                    held[lang] = np.zeros(1 << GRAM_BITS, np.int64)
+                rows = pa.array([i for i, x in enumerate(langs) if x == lang])
+                for codes, _ in grams(batch.column("text").take(rows).to_pylist()):
+                    held[lang] += np.bincount(codes, minlength=1 << GRAM_BITS)
+        yield from told()
+
+    return training.select("text", "lang").mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def learn(training: DataFrame, ratio: float = RATIO) -> Filter:
+    """The filter of (text, lang) rows. The driver gets at most 2**GRAM_BITS rows for each 64 languages."""
+    spark = training.sparkSession
+    each = materialise(counts(training), "gram-counts")
+    totals = sorted(tuple(r) for r in each.groupBy("lang").agg(F.sum("n").alias("total")).collect())  # a row a language
+    out = Filter([lang for lang, _ in totals])
+    if not totals:
+        return out
+    numbered = spark.createDataFrame([(lang, i, total) for i, (lang, total) in enumerate(totals)], "lang string, number int, total long")
+    share = each.join(F.broadcast(numbered), "lang").select("code", "number", (F.col("n") / F.col("total")).alias("share"))
+    most = share.groupBy("code").agg(F.max("share").alias("most"))
+    kept = share.join(most, "code").where(F.col("share") >= ratio * F.col("most"))
+    bit = F.expr("shiftleft(1L, number % 64)")
+    rows = kept.groupBy("code", F.expr("number div 64").alias("part")).agg(F.bit_or(bit).alias("mask")).toPandas()
+    out.add(rows["code"].to_numpy("int64"), rows["part"].to_numpy("int64"), rows["mask"].to_numpy("int64").view(np.uint64))
     return out
 
 
-def predict(docs: DataFrame, learned: Filter) -> DataFrame:
-    """The documents' columns, lang_pred and score; lang is not looked at."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((learned.languages, learned.words))  # 8 MB for each 64 languages
-    names = docs.columns
+def predict(docs: DataFrame, learned: Filter, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The documents' columns and the two results, which replace columns of these names; lang is not looked at."""
+    shared = docs.sparkSession.sparkContext.broadcast((learned.languages, learned.words))  # 8 MB for each 64 languages
 
-    def make():
-        languages, words = shared.value
+    @F.arrow_udf("lang string, score double")
+    def decide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Filter.__new__(Filter)
-        own.languages, own.words = languages, words
-        wrong = own.false_positives()
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            codes, doc = grams(batch.column("text").to_pylist())
-            total = np.bincount(doc, minlength=batch.num_rows)
-            pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
-            if languages:
-                right = (own.hits(codes, doc, batch.num_rows) - total[:, None] * wrong) / (1 - wrong)
-                best = right.argmax(1)
-                some = total > 0
-                pred[some] = np.asarray(languages, object)[best[some]]
-                score[some] = np.clip(right[some, best[some]] / total[some], 0, 1)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
-
-        return work
+        own.languages, own.words = shared.value
+        for texts in batches:
+            langs, scores = own.decide(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
 
-    return map_batches(docs, make, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double"]))
+    inner = "_language"
+    while inner in docs.columns:
+        inner += "_"
+    kept = [c for c in docs.columns if c not in (pred, score)]
+    return docs.select(*kept, decide(docs["text"]).alias(inner)).select(*kept, F.col(f"{inner}.lang").alias(pred), F.col(f"{inner}.score").alias(score))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -174,6 +236,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accept(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is known well enough."""
-    inner = {c: c if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)}
-    found = predict(docs.select(*[F.col(c).alias(a) for c, a in inner.items()]), learn(training_rows(docs)))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*[F.col(a).alias(c) for c, a in inner.items()])
+    pred, score = "_lang_pred", "_lang_score"
+    while pred in docs.columns or score in docs.columns:
+        pred, score = pred + "_", score + "_"
+    found = predict(docs, learn(training_rows(docs)), pred, score)
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= min_score)).select(*docs.columns)

@@ -44,6 +44,8 @@ GRAM = 32
 CHUNK = 1 << 19
 #: Rows of contexts sorted at a time, unless one gram has more.
 BLOCK = 20_000
+#: Bytes of text whose equal contexts meet before the shuffle; they are hashed CHUNK at a time.
+SLICE = 4 << 20
 _NULL_KEY = -(1 << 63)
 
 _RNG = np.random.default_rng(20240607)
@@ -286,7 +288,7 @@ def spans(numbered: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) ->
 
         return work
 
-    found = map_batches(numbered.select("k", "rk", "text"), sampled, "gram long, context long, k long, rk int, place long, known boolean")
+    found = map_batches(numbered.select("k", "rk", "text"), sampled, "gram long, context long, k long, rk int, place long, known boolean", slice_bytes=SLICE)
     # a known repeat goes anywhere
     dealt_by = F.when(F.col("known"), F.xxhash64("k", "place")).otherwise(F.col("gram"))
     streamed = found.repartition(parts, dealt_by).sortWithinPartitions("gram", "context", "k", "rk", "place")
