@@ -160,6 +160,10 @@ class WordBpe:
         return b"".join(map(self.encode_word, self.pattern.findall(lowered)))
 
 
+#: Signs that are a word of their own after letters, whatever follows.
+SIGNS = frozenset(".,;:!?")
+
+
 class ChunkCache(dict):
     """Little-endian ids of white-space-free chunks, encoded when first met."""
 
@@ -168,7 +172,8 @@ class ChunkCache(dict):
         self.bpe = bpe
 
     def __missing__(self, chunk: str) -> bytes:
-        out = self.bpe.encode_chunk(chunk)
+        core, last = chunk[:-1], chunk[-1:]
+        out = self[core] + self[last] if last in SIGNS and core.isalpha() else self.bpe.encode_chunk(chunk)
         if len(self) >= CACHE:
             self.clear()
         if len(chunk) <= 64:
