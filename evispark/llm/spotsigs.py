@@ -1,12 +1,12 @@
 """SpotSigs: fingerprints of the content words that follow common words.
 
 Every common word (an anchor) forms a signature with the next CHAIN content words,
-other anchors in between left out, at most LOOKAHEAD of them; the start of the text
-is an anchor too, so that each text with a content word has a signature. Where
-anchors are missing (tables, lists, code, other languages) every content word is one:
-in texts without any anchor and more than BARE words, and in runs of more than GAP
-content words, so that their signatures cover the whole length. The fingerprint is the sorted set of the signatures' 64-bit hashes, its likeness to
-another one their Jaccard index.
+however many other anchors stand in between; the start of the text is an anchor too,
+so that each text with a content word has a signature. Where anchors are missing
+(tables, lists, code, other languages) every content word is one: in texts without any
+anchor and more than BARE words, and in runs of more than GAP content words, so that
+their signatures cover the whole length. The fingerprint is the sorted set of the
+signatures' 64-bit hashes, its likeness to another one their Jaccard index.
 
 Everything is DataFrame functions. Texts cross one shuffle, dealt to buckets by
 quantiles of doc_id, where each finds its successor; a bucket's last row takes the
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_key, materialise, table
 
-CHAIN, LOOKAHEAD = 2, 3
+CHAIN = 2
 #: Content words that a text without anchors, and a run between two anchors, may have without signatures of their own.
 BARE, GAP = 10, 30
 THRESHOLD = 0.8
@@ -51,26 +51,29 @@ def _bound(value: Column, use) -> Column:
 def signatures(text: Column) -> Column:
     """The sorted distinct hashes of a text's signatures."""
     words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
-    marked = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), rf" (?=(?:{'|'.join(sorted(set(ANCHORS)))}) )", _MARK)
-    parts = F.split(F.concat(F.lit("^"), F.rtrim(marked)), _MARK)  # "anchor content content ..."
+    spaced = F.concat(F.lit(f"{_MARK}^ "), F.ltrim(words), F.lit(" "))
+    marked = F.rtrim(F.regexp_replace(spaced, rf" (?=(?:{'|'.join(sorted(set(ANCHORS)))}) )", _MARK))
+    none = F.array().cast("array<string>")
 
-    def tail(part: Column) -> Column:
-        return F.when(F.instr(part, " ") > 0, F.substring(part, F.instr(part, " "), F.length(part))).otherwise("")
+    def chains(pieces: Column) -> Column:
+        """Pieces are a content word each, with the anchors that follow it; every anchor is chained to the next pieces' words."""
 
-    def chains(both: Column) -> Column:
-        following = lambda i: F.array_join(F.slice(both["content"], i + 2, F.lit(LOOKAHEAD)), "")
-        return F.transform(both["parts"], lambda part, i: F.substring_index(F.concat(part, following(i)), " ", CHAIN + 1))
+        def of(both: Column) -> Column:
+            chain = lambda i: F.concat_ws(" ", *(F.get(both["content"], i + j) for j in range(1, CHAIN + 1)))
+            joined = lambda x, i: _bound(chain(i), lambda c: F.when(c != "", F.transform(F.slice(F.split(x, _MARK), 2, 1 << 30), lambda a: F.concat(a, F.lit(" "), c))).otherwise(none))
+            return F.flatten(F.transform(both["pieces"], lambda x, i: F.when(F.instr(x, _MARK) > 0, joined(x, i)).otherwise(none)))
 
-    def runs(both: Column) -> Column:
-        limit = F.when(F.size(both["parts"]) == 1, BARE).otherwise(GAP)
-        every = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(CHAIN + 1))))
-        none = F.array().cast("array<string>")
-        split = lambda c: _bound(F.split(F.ltrim(c), " "), lambda w: F.when(F.size(w) > limit, every(w)).otherwise(none))
-        return F.flatten(F.transform(both["content"], lambda c: F.when(F.length(c) > 2 * limit, split(c)).otherwise(none)))
+        return _bound(F.struct(pieces.alias("pieces"), F.transform(pieces, lambda x: F.substring_index(x, _MARK, 1)).alias("content")), of)
 
-    found = _bound(parts, lambda p: _bound(F.struct(p.alias("parts"), F.transform(p, tail).alias("content")), lambda both: F.concat(chains(both), runs(both))))
-    whole = F.filter(found, lambda c: F.instr(c, " ") > 0)  # an anchor without content words behind it has no signature
-    return F.array_sort(F.array_distinct(F.transform(whole, lambda c: F.hash(c))))
+    def runs(parts: Column) -> Column:
+        """Parts are an anchor each, with the content words that follow it; where these are many, all form chains."""
+        limit = F.when(F.size(parts) <= 2, BARE).otherwise(GAP)
+        every = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(CHAIN + 1))))
+        split = lambda part: _bound(F.split(part, " "), lambda w: F.when(F.size(w) - 1 > limit, every(w)).otherwise(none))
+        return F.flatten(F.transform(parts, lambda part: F.when(F.length(part) > 2 * limit, split(part)).otherwise(none)))
+
+    found = _bound(marked, lambda m: F.concat(_bound(F.split(m, " "), chains), _bound(F.split(m, _MARK), runs)))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda c: F.xxhash64(c))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -81,8 +84,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def printed(fingerprint: Column) -> Column:
-    """A fingerprint as eight hexadecimal digits for each signature, in the order of the set."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
+    """A fingerprint as sixteen hexadecimal digits for each signature, in the order of the set."""
+    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def _place(value: Column, cuts: list[int]) -> Column:

@@ -122,13 +122,11 @@ def test_match_threshold():
 def brute_signatures(text):
     anchors = set(spotsigs.ANCHORS)
     w = ["^", *regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split()]
-    at = [i for i, x in enumerate(w) if i == 0 or x in anchors]
     out = set()
-    for j, i in enumerate(at):
-        end = at[j + 1 + spotsigs.LOOKAHEAD] if j + 1 + spotsigs.LOOKAHEAD < len(at) else len(w)
-        content = [x for x in w[i + 1 : end] if x not in anchors][: spotsigs.CHAIN]
-        if content:
-            out.add((w[i], *content))
+    for i, anchor in enumerate(w):
+        content = [x for x in w[i + 1 :] if x not in anchors][: spotsigs.CHAIN]
+        if content and (i == 0 or anchor in anchors):
+            out.add((anchor, *content))
     return out
 
 
@@ -139,7 +137,7 @@ def like(a, b):
 def test_fingerprints(spark):
     rng = random.Random(7)
     vocabulary = [*spotsigs.ANCHORS[:12], *(f"word{i}" for i in range(40))]
-    rows = [(3 * i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for i in range(60)] + [(None, "the first"), (1000, None), (1001, "of the and"), (1002, "é?"), (1003, "the cat\nsat")]
+    rows = [(3 * i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 60)))) for i in range(60)] + [(None, "the first"), (1000, None), (1001, "of the and"), (1002, "é?"), (1003, "the cat\nsat"), (1004, "the of a the to cat in the of and to a in sat on"), (1005, "the " * 3000 + "end")]
     rows += [(2000 + i, rows[5][1] + f" word{i}") for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in spotsigs.digests(df).collect()}
@@ -149,7 +147,7 @@ def test_fingerprints(spark):
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         r, own = got[d], brute_signatures(t)
-        assert (r.n_chars, r.edited_sha256, len(r.fingerprint), len(r.edited_fingerprint)) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), 8 * len(own), 8 * len(brute_signatures(edited)))
+        assert (r.n_chars, r.edited_sha256, len(r.fingerprint), len(r.edited_fingerprint)) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), 16 * len(own), 16 * len(brute_signatures(edited)))
         assert r.near_edited == pytest.approx(like(own, brute_signatures(edited))) and r.near_next == pytest.approx(like(own, brute_signatures(after)))
     members, pairs = spotsigs.near_duplicates(df, 0.6)
     classes = {}
@@ -219,3 +217,17 @@ def test_mined_rules_equal_counting(spark):
     good = {k: c for k, c in every.items() if c[0] >= 0.7 and c[1] >= 0.02}
     expected = {(p, v): c for (p, v), c in good.items() if not any((p[:i] + p[i + 1 :], v) in good and good[p[:i] + p[i + 1 :], v][0] >= c[0] for i in range(len(p)))}
     assert mined.keys() == expected.keys() and all(mined[k] == pytest.approx(expected[k]) for k in mined)
+
+
+def test_matched_rules_equal_search(spark):
+    rng = random.Random(12)
+    sets = [sorted({f"t{rng.randint(0, 9)}" for _ in range(rng.randint(0, 5))}) for _ in range(150)]
+    rules = {(tuple(sorted(rng.sample([f"t{i}" for i in range(10)], rng.randint(1, 3)))), rng.choice(["allow", "block"])): (rng.choice([0.8, 0.9, 1.0]), rng.choice([0.1, 0.2])) for _ in range(40)}
+    table = spark.createDataFrame([(list(n), len(n), v, c, s) for (n, v), (c, s) in rules.items()], "needs array<string>, n_needs int, verdict string, confidence double, support double")
+    pages = spark.createDataFrame([(i, s) for i, s in enumerate(sets + [sets[0]] * 400)], "page_id long, items array<string>")
+    groups = pages.groupBy("items").count().withColumnRenamed("count", "n")
+    got = {r.page_id: r.best for r in url_rules.looked_up(pages, groups, url_rules.match(groups, table)).collect()}
+    assert len(got) == 550
+    for i, s in enumerate(sets + [sets[0]] * 400):
+        fits = [(c, sup, -len(n), " ".join(n), v) for (n, v), (c, sup) in rules.items() if set(n) <= set(s)]
+        assert (tuple(got[i]) if got[i] else None) == (max(fits) if fits else None)
