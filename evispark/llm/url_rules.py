@@ -30,6 +30,8 @@ from .common import materialise, table
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
 DEFAULT = "allow"
+#: Places that the sets with a token are dealt to; token sets with this share of all pages (1 / HOT) are looked up without a shuffle.
+SPLIT, HOT = 32, 1024
 _LABEL = "verdict="
 
 
@@ -84,32 +86,46 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(items, best): the best rule of each distinct token set that contains one, as struct with verdict, confidence and needs."""
-    exploded = sets.select("items", F.explode("items").alias("token"))
+    """(items, best): the best rule of each distinct token set that contains one, as struct with verdict, confidence and needs.
+
+    A token that very many sets have is dealt to SPLIT places, its rules to all of them.
+    """
+    exploded = sets.select("items", F.pmod(F.xxhash64("items"), F.lit(SPLIT)).cast("int").alias("place"), F.explode("items").alias("token"))
     frequency = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     posted = rules.select("*", F.explode("needs").alias("token")).join(frequency, "token")
     keys = posted.groupBy("needs", "verdict").agg(F.min(F.struct("n", "token")).token.alias("token"))
-    index = rules.join(keys, ["needs", "verdict"])
-    met = exploded.join(index, "token").where(F.size(F.array_except("needs", "items")) == 0)
+    index = rules.join(keys, ["needs", "verdict"]).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    met = exploded.join(index, ["token", "place"]).where(F.size(F.array_except("needs", "items")) == 0)
     rank = F.struct(F.col("confidence"), F.col("support"), (-F.col("n_needs")).alias("shortness"), F.array_join("needs", " ").alias("pattern"), F.col("verdict"))
     return met.groupBy("items").agg(F.max(rank).alias("best"))
 
 
+def looked_up(pages: DataFrame, sets: DataFrame, best: DataFrame) -> DataFrame:
+    """The pages (with items) and the best rule of their token set. Sets that 1 / HOT of all pages or more have, at most HOT, are looked up where the pages stand."""
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = sets.where(F.col("n") * HOT >= total).select("items").join(best, "items", "left").withColumn("hot", F.lit(True))
+    marked = pages.join(F.broadcast(hot), "items", "left")
+    rest = marked.where("hot is null").drop("hot", "best").join(best, "items", "left")
+    return marked.where("hot").drop("hot").unionByName(rest)
+
+
 def judge(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, default: str = DEFAULT) -> DataFrame:
     """Verdict of every page: a stated rule's, else a mined rule's, else the default."""
     host, path, tail = split_url(F.col("url"))
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path"), tail.alias("tail"))
     ruled = parsed.select("*", fitting(F.col("host"), F.col("path"), rules).alias("fit"), tokens(F.col("url"), F.col("host"), F.col("path"), F.col("tail")).alias("items"))
     labelled = ruled.where("fit is not null").select("items", F.col("fit.verdict").alias("verdict"))
-    stated = ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("stated"), F.when(F.col("fit").isNull(), F.col("items")).alias("items"))
+    none = [F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("double").alias("confidence")]
+    stated = ruled.where("fit is not null").select("page_id", "host", "path", "fit.rule", "fit.verdict", *none)
+    open_ = ruled.where("fit is null").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), "items")
     if labelled.isEmpty():
-        return stated.select("page_id", "host", "path", "rule", F.coalesce("stated", F.lit(default)).alias("verdict"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("double").alias("confidence"))
-    sets = stated.where("items is not null").select("items").distinct()
-    best = match(sets, mine(labelled, min_support, min_confidence))
-    joined = stated.join(best, "items", "left")
-    return joined.select(
-        "page_id", "host", "path", "rule", F.coalesce("stated", "best.verdict", F.lit(default)).alias("verdict"), F.col("best.pattern").alias("pattern"), F.col("best.confidence").alias("confidence")
+        return open_.select("page_id", "host", "path", "rule", F.lit(default).alias("verdict"), *none)
+    sets = materialise(open_.groupBy("items").agg(F.count(F.lit(1)).alias("n")), "url-sets")
+    best = materialise(match(sets, mine(labelled, min_support, min_confidence)), "url-matches")
+    mined = looked_up(open_, sets, best).select(
+        "page_id", "host", "path", "rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.col("best.pattern").alias("pattern"), F.col("best.confidence").alias("confidence")
     )
+    return stated.unionByName(mined)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
