@@ -4,10 +4,15 @@ A payload is stored as the private elementary stream of a one-program transport
 stream of 188-byte packets: a program association table, a program map table, then
 one packetised elementary packet for each access unit, with a presentation time,
 and with clock reference and random-access flag in its first transport packet.
-``demux`` trusts nothing: it resynchronises on the sync byte, follows association
-table to map table to the streams' ids (checking the tables' CRCs), checks the
-continuity counter of each id, reassembles the elementary packets and stores their
-timestamps with the byte offset of each random-access point.
+``demux`` trusts nothing: it resynchronises on the sync byte, reassembles the sections
+of the association table and the map tables over as many packets as they take
+(checking their CRCs), and follows them to the elementary streams, each of which is
+kept apart. A packet that repeats its predecessor is dropped, as the format allows
+one; any other step of the continuity counter is a loss, unless the packet announces a
+discontinuity. What follows a loss in an elementary packet is left out up to the next
+one and the unit is named as damaged, so that no byte of a payload stands in a wrong
+place unmarked. Presentation and decoding times are stored for each unit, with the byte
+offset of each random-access point.
 
 Edge cases: a null or empty text has a payload of spaces; equal texts give equal
 streams; a damaged stream is read as far as it goes, faults are counted; repeated
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -112,20 +118,50 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
+@dataclass
+class Elementary:
+    """One elementary stream."""
+
+    kind: int
+    payload: bytes = b""
+    lost: int = 0  # continuity faults
+    duplicates: int = 0
+    damaged: list[int] = field(default_factory=list)  # units that lack bytes, by number
+    times: list[int] = field(default_factory=list)  # presentation time of each unit in 90 kHz ticks, -1 without one
+    decoding: list[int] = field(default_factory=list)  # decoding time, the presentation time where there is none
+    random_access: list[tuple[int, int]] = field(default_factory=list)  # (ticks, byte offset of the transport packet)
+
+
 @dataclass
 class Stream:
     """What a transport stream holds."""
 
     packets: int = 0
     programs: dict[int, int] = field(default_factory=dict)
-    streams: dict[int, int] = field(default_factory=dict)
-    lost: int = 0  # continuity faults
+    streams: dict[int, Elementary] = field(default_factory=dict)
     bad_tables: int = 0
     bad_units: int = 0
     skipped: int = 0  # bytes out of sync
-    payload: bytes = b""
-    times: list[int] = field(default_factory=list)  # of each elementary packet, in 90 kHz ticks, -1 without one
-    random_access: list[tuple[int, int]] = field(default_factory=list)  # (ticks, byte offset of the transport packet)
+
+    def _all(self, of: str) -> list:
+        return [x for _, e in sorted(self.streams.items()) for x in getattr(e, of)]
+
+    @property
+    def payload(self) -> bytes:
+        """The streams' payloads one after the other, by their ids."""
+        return b"".join(e.payload for _, e in sorted(self.streams.items()))
+
+    @property
+    def times(self) -> list[int]:
+        return self._all("times")
+
+    @property
+    def random_access(self) -> list[tuple[int, int]]:
+        return self._all("random_access")
+
+    @property
+    def lost(self) -> int:
+        return sum(e.lost for e in self.streams.values())
 
 
 def _synced(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
@@ -146,15 +182,38 @@ def _synced(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return rows, np.asarray(starts, int), len(data) - PACKET * len(starts)
 
 
-def _section(packet: np.ndarray, start: int, table_id: int) -> bytes | None:
-    """The section that a packet begins, if whole and sound; program tables here fit one packet."""
-    raw = packet.tobytes()
-    at = start + 1 + raw[start]
-    if at + 3 > PACKET or raw[at] != table_id:
-        return None
-    size = 3 + (int.from_bytes(raw[at + 1 : at + 3], "big") & 0x0FFF)
-    whole = raw[at : at + size]
-    return whole if len(whole) == size and size >= 12 and section_crc(whole) == 0 else None
+def _sections(packets: list[tuple[bytes, bool, bool]]) -> Iterator[bytes | None]:
+    """The sections that a table's packets (payload, whether one starts in it, whether packets are missing before it) make up; None for each unsound one."""
+    held: bytes | None = None  # a section that has begun
+
+    def ended(data: bytes) -> tuple[bytes | None, bytes] | None:
+        """The section that data begins with, None if unsound, and what follows it; None if it isn't whole yet."""
+        if len(data) < 3:
+            return None
+        size = 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF)
+        if len(data) < size:
+            return None
+        return (data[:size] if size >= 12 and section_crc(data[:size]) == 0 else None), data[size:]
+
+    for data, starts, gap in packets:
+        if gap and held is not None:
+            yield None
+            held = None
+        if starts:
+            pointer, data = data[0], data[1:]
+            if held is not None:
+                whole = ended(held + data[:pointer])
+                yield whole[0] if whole else None
+            held = data[pointer:]
+        elif held is not None:
+            held += data
+        while held and held[0] != 0xFF and (whole := ended(held)):
+            yield whole[0]
+            held = whole[1]
+        if held is not None and held[:1] in (b"", b"\xff"):  # stuffing up to the packet's end
+            held = None
+    if held is not None:
+        yield None
 
 
 def demux(data: bytes) -> Stream:
@@ -163,38 +222,54 @@ def demux(data: bytes) -> Stream:
     if not len(rows):
         return out
     pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
-    starts_unit, has_field, has_data, counter = rows[:, 1] & 0x40 != 0, rows[:, 3] & 0x20 != 0, rows[:, 3] & 0x10 != 0, rows[:, 3] & 15
+    starts_unit, has_field, has_data, counter = rows[:, 1] & 0x40 != 0, rows[:, 3] & 0x20 != 0, rows[:, 3] & 0x10 != 0, rows[:, 3].astype(np.int32) & 15
     begin = np.where(has_field, 5 + rows[:, 4].astype(np.int32), 4)
     flags = np.where(has_field & (rows[:, 4] > 0), rows[:, 5], 0)
-
-    for i in np.flatnonzero((pid == PAT_PID) & starts_unit & has_data):
-        body = _section(rows[i], int(begin[i]), 0x00)
-        if body is None:
-            out.bad_tables += 1
-            continue
+    has_data &= begin < PACKET
+
+    def followed(number: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The packets of an id without repeated ones, before which of them packets are missing, and how many were repeated."""
+        own = np.flatnonzero((pid == number) & has_data)
+        step = np.diff(counter[own], prepend=counter[own[:1]] - 1) & 15
+        step[:1] = 1
+        again = [i for i in np.flatnonzero(step == 0).tolist() if rows[own[i], begin[own[i]] :].tobytes() == rows[own[i - 1], begin[own[i - 1]] :].tobytes()]
+        repeated = sorted(set(again) - {i + 1 for i in again})  # one repetition is allowed
+        keep = np.ones(len(own), bool)
+        keep[repeated] = False
+        own = own[keep]
+        gap = np.diff(counter[own], prepend=counter[own[:1]] - 1) & 15 != 1
+        gap &= flags[own] & 0x80 == 0  # an announced discontinuity
+        gap[:1] = False
+        return own, gap, len(repeated)
+
+    def tables(number: int, table_id: int) -> Iterator[bytes]:
+        own, gap, _ = followed(number)
+        for body in _sections([(rows[i, begin[i] :].tobytes(), bool(starts_unit[i]), bool(g)) for i, g in zip(own, gap, strict=True)]):
+            if body is None:
+                out.bad_tables += 1
+            elif body[0] == table_id:
+                yield body
+
+    for body in tables(PAT_PID, 0x00):
         for at in range(8, len(body) - 4, 4):
             if number := int.from_bytes(body[at : at + 2], "big"):
                 out.programs[number] = int.from_bytes(body[at + 2 : at + 4], "big") & 0x1FFF
-    for i in np.flatnonzero(np.isin(pid, list(out.programs.values())) & starts_unit & has_data):
-        body = _section(rows[i], int(begin[i]), 0x02)
-        if body is None:
-            out.bad_tables += 1
-            continue
-        at = 12 + (int.from_bytes(body[10:12], "big") & 0x0FFF)
-        while at + 5 <= len(body) - 4:
-            out.streams[int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF] = body[at]
-            at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0x0FFF)
-
-    chunks = []
-    for stream in sorted(out.streams):
-        own = np.flatnonzero((pid == stream) & has_data & (begin < PACKET))
-        if not len(own):
-            continue
-        step = np.diff(counter[own].astype(np.int32)) & 15
-        out.lost += int((step != 1).sum())
-        units = np.flatnonzero(starts_unit[own])
-        for k, first in enumerate(units):
-            members = own[first : units[k + 1] if k + 1 < len(units) else len(own)]
+    for number in sorted(set(out.programs.values())):
+        for body in tables(number, 0x02):
+            at = 12 + (int.from_bytes(body[10:12], "big") & 0x0FFF)
+            while at + 5 <= len(body) - 4:
+                out.streams[int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF] = Elementary(body[at])
+                at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0x0FFF)
+
+    for number, stream in sorted(out.streams.items()):
+        own, gap, stream.duplicates = followed(number)
+        stream.lost = int(gap.sum())
+        units = np.flatnonzero(starts_unit[own]).tolist()
+        out.bad_units += bool(len(own)) and (not units or units[0] > 0)  # begins within a unit
+        chunks = []
+        for first, after in zip(units, [*units[1:], len(own)], strict=False):
+            holes = np.flatnonzero(gap[first + 1 : after])
+            members = own[first : first + 1 + holes[0]] if len(holes) else own[first:after]
             head = int(members[0])
             plain = begin[members] == 4
             if plain[1:-1].all():
@@ -202,18 +277,19 @@ def demux(data: bytes) -> Stream:
                 pes = rows[head, begin[head] :].tobytes() + middle + (rows[members[-1], begin[members[-1]] :].tobytes() if len(members) > 1 else b"")
             else:
                 pes = b"".join(rows[m, begin[m] :].tobytes() for m in members)
-            if pes[:3] != b"\x00\x00\x01" or len(pes) < 9:
+            if pes[:3] != b"\x00\x00\x01" or len(pes) < 9 or len(pes) < 9 + pes[8]:
                 out.bad_units += 1
                 continue
             size, skip = int.from_bytes(pes[4:6], "big"), 9 + pes[8]
-            body = pes[skip : 6 + size] if size else pes[skip:]
-            out.bad_units += bool(size) and len(pes) < 6 + size
+            if len(holes) or (len(pes) < 6 + size if size else after < len(own) and gap[after]):
+                stream.damaged.append(len(stream.times))
             ticks = _ticks(pes[9:14]) if pes[7] & 0x80 and pes[8] >= 5 else -1
-            out.times.append(ticks)
+            stream.times.append(ticks)
+            stream.decoding.append(_ticks(pes[14:19]) if pes[7] & 0xC0 == 0xC0 and pes[8] >= 10 else ticks)
             if flags[head] & 0x40:
-                out.random_access.append((ticks, int(offsets[head])))
-            chunks.append(body)
-    out.payload = b"".join(chunks)
+                stream.random_access.append((ticks, int(offsets[head])))
+            chunks.append(pes[skip : 6 + size] if size else pes[skip:])
+        stream.payload = b"".join(chunks)
     return out
 
 
@@ -224,9 +300,10 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def feature(s: Stream) -> str:
-    kinds = ",".join(f"{pid}:{kind}" for pid, kind in sorted(s.streams.items()))
+    kinds = ",".join(f"{pid}:{e.kind}" for pid, e in sorted(s.streams.items()))
+    damaged = sum(len(e.damaged) for e in s.streams.values())
     points = ",".join(f"{t}@{o}" for t, o in s.random_access)
-    return f"packets={s.packets};streams={kinds};units={len(s.times)};last_time={s.times[-1] if s.times else -1};random_access={points};lost={s.lost};bad={s.bad_tables + s.bad_units + s.skipped}"
+    return f"packets={s.packets};streams={kinds};units={len(s.times)};last_time={s.times[-1] if s.times else -1};random_access={points};lost={s.lost};bad={s.bad_tables + s.bad_units + damaged + s.skipped}"
 
 
 def store(docs: DataFrame) -> DataFrame:

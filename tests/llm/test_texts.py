@@ -187,7 +187,7 @@ def test_streams_round_trip(odd, empty):
         media = media_ts.mux(payload)
         s = media_ts.demux(media)
         assert s.payload == payload and len(media) % 188 == 0 and not (s.lost or s.bad_units or s.bad_tables or s.skipped)
-        assert s.programs == {1: media_ts.PMT_PID} and s.streams == {media_ts.ES_PID: media_ts.STREAM_TYPE}
+        assert s.programs == {1: media_ts.PMT_PID} and {p: e.kind for p, e in s.streams.items()} == {media_ts.ES_PID: media_ts.STREAM_TYPE}
         assert s.times == [i * media_ts.UNIT_TICKS for i in range(len(s.times))] and len(s.random_access) == -(-len(s.times) // media_ts.KEY_INTERVAL)
         assert all(media[o + 5] & 0x40 for _, o in s.random_access)
     lossy = media[: 188 * 5] + media[188 * 6 :]
@@ -197,6 +197,74 @@ def test_streams_round_trip(odd, empty):
     assert media_ts.read_back(media_ts.store(empty)).count() == 0
 
 
+def ts_packets(pid, data, counter=0, flags=None):
+    """Transport packets of one id that carry data, the first with an adaptation field of these flags if there are any."""
+    out, first = [], True
+    while data or first:
+        field = bytes([flags]) if first and flags is not None else b""
+        room = 184 - (1 + len(field) if field else 0)
+        part, data = data[:room], data[room:]
+        fill = room - len(part)
+        if field or fill:
+            stuffed = field + b"\xff" * (fill if field else max(0, fill - 1))
+            if stuffed and not field:
+                stuffed = b"\x00" + stuffed[1:]
+            head = bytes([0x30 | counter & 15, len(stuffed)]) + stuffed
+        else:
+            head = bytes([0x10 | counter & 15])
+        out.append(bytes([0x47]) + ((0x4000 if first else 0) | pid).to_bytes(2, "big") + head + part)
+        assert len(out[-1]) == 188
+        counter, first = counter + 1, False
+    return out
+
+
+def test_streams_with_long_tables_two_programs_and_decoding_times():
+    streams = [(0x200 + i, 0x1B) for i in range(60)] + [(0x300, 0x0F)]
+    entries = b"".join(bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x00" for pid, kind in streams)
+    maps = media_ts.section(0x02, 1, (0xE200).to_bytes(2, "big") + b"\xf0\x00" + entries)
+    other = media_ts.section(0x02, 2, (0xE400).to_bytes(2, "big") + b"\xf0\x03\x0a\x01\x00" + bytes([0x06]) + (0xE400).to_bytes(2, "big") + b"\xf0\x00")
+    pat = media_ts.section(0x00, 1, b"".join(n.to_bytes(2, "big") + (0xE000 | pid).to_bytes(2, "big") for n, pid in ((0, 0x10), (1, 0x50), (2, 0x50))))
+    assert len(maps) > 300
+    stamp = lambda mark, t: bytes([mark << 4 | 1 | t >> 29 & 0x0E, t >> 22 & 0xFF, 1 | t >> 14 & 0xFE, t >> 7 & 0xFF, 1 | t << 1 & 0xFE])
+    video = b"\x00\x00\x01\xe0\x00\x00\x80\xc0\x0a" + stamp(3, 9000) + stamp(1, 5400) + b"v" * 500  # of unbounded size
+    audio = b"\x00\x00\x01\xc0" + (8 + 77).to_bytes(2, "big") + b"\x80\x80\x05" + stamp(2, 7200) + b"a" * 77
+    table = ts_packets(0x50, b"\x00" + maps + other)  # the second section begins where the first ends
+    assert len(table) >= 2
+    data = b"".join([*ts_packets(0, b"\x00" + pat), *table, *ts_packets(0x200, video, flags=0x40), *ts_packets(0x300, audio)])
+    s = media_ts.demux(data)
+    assert (s.bad_tables, s.bad_units, s.lost, s.programs) == (0, 0, 0, {1: 0x50, 2: 0x50})
+    assert {p: e.kind for p, e in s.streams.items()} == dict(streams) | {0x400: 0x06}
+    assert (s.streams[0x200].payload, s.streams[0x200].times, s.streams[0x200].decoding) == (b"v" * 500, [9000], [5400])
+    assert (s.streams[0x300].payload, s.streams[0x300].times, s.streams[0x300].decoding) == (b"a" * 77, [7200], [7200])
+    assert s.random_access == [(9000, 188 * (1 + len(table)))] and s.payload == b"v" * 500 + b"a" * 77
+    broken = bytearray(data)
+    broken[188 + 100] ^= 1
+    assert media_ts.demux(bytes(broken)).bad_tables == 1
+
+
+def test_streams_with_repeated_lost_and_discontinuous_packets():
+    payload = bytes(range(256)) * 288
+    media = media_ts.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    starts = [i for i, x in enumerate(packets) if x[1] & 0x40 and i > 1]
+    whole = media_ts.demux(media)
+    for at in (2, 5, starts[1], starts[1] - 1, len(packets) - 1):
+        twice = media_ts.demux(b"".join([*packets[: at + 1], packets[at], *packets[at + 1 :]]))
+        assert (twice.payload, twice.lost, twice.times) == (payload, 0, whole.times) and twice.streams[media_ts.ES_PID].duplicates == 1
+    unit = media_ts.UNIT_BYTES
+    for at, bad in ((starts[1] + 3, 1), (starts[1] - 1, 0)):
+        less = media_ts.demux(b"".join([*packets[:at], *packets[at + 1 :]]))
+        own = less.streams[media_ts.ES_PID]
+        cut = len(payload) - len(less.payload)
+        assert own.lost == 1 and own.damaged == [bad] and less.times == whole.times and cut > 0
+        assert less.payload == payload[: (bad + 1) * unit - cut] + payload[(bad + 1) * unit :]
+    jump = [x if i < starts[2] else x[:3] + bytes([x[3] & 0xF0 | (x[3] + 5) & 15]) + x[4:] for i, x in enumerate(packets)]
+    assert media_ts.demux(b"".join(jump)).lost == 1
+    jump[starts[2]] = jump[starts[2]][:5] + bytes([jump[starts[2]][5] | 0x80]) + jump[starts[2]][6:]
+    told = media_ts.demux(b"".join(jump))
+    assert told.lost == 0 and told.payload == payload and not told.streams[media_ts.ES_PID].damaged
+
+
 def test_language(spark, odd, empty):
     words = {"en": "the house and the water of them that think", "de": "das haus und nicht das wasser von denen schön", "fr": "la maison et leau de ceux qui pensent très"}
     rng = random.Random(4)
