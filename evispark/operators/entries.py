@@ -66,12 +66,33 @@ def allocation(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     return base.select("stratum", "size", F.least(F.col("size"), F.col("floor") + (F.col("place") <= F.col("left")).cast("long")).alias("take"))
 
 
+def _seeded(seed: int, col: str) -> Column:
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(col)), 256)
+
+
+def lowest(df: DataFrame, keys: Sequence[str], digest: str, ties: str, takes: DataFrame) -> DataFrame:
+    """Of each key the ``take`` rows with the least hexadecimal digest, of equal ones by ``ties``.
+
+    Rows are counted by the digest's first four digits; lots below the one in which the number is reached stay whole,
+    and only that one is put in order, so no task sees a key's rows.
+    """
+    lot = F.substring(digest, 1, 4)
+    named = df.withColumn("_lot", lot)
+    counts = named.groupBy(*keys, "_lot").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.partitionBy(*keys).orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_left", F.lit(0) - F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    open_ = counts.join(takes.select(*keys, "take"), list(keys)).select(*keys, "_lot", "_n", (F.col("take") + F.col("_left")).alias("_left")).where("_left > 0")
+    met = named.join(open_, [*keys, "_lot"])
+    whole = met.where("_n <= _left")
+    place = F.row_number().over(Window.partitionBy(*keys, "_lot").orderBy(digest, ties))
+    part = met.where("_n > _left").withColumn("_place", place).where("_place <= _left").drop("_place")
+    return whole.unionByName(part).drop("_lot", "_n", "_left")
+
+
 def stratified_sample(df: DataFrame, n: int, seed: int = 0, keys: Sequence[str] = ("label", "generator")) -> DataFrame:
     """About n entries with the strata's shares; within a stratum by a seeded hash of the path."""
-    takes = allocation(df, n, keys)
-    order = Window.partitionBy("stratum").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "path"), 256), "path")
-    placed = df.withColumn("stratum", _stratum(keys)).withColumn("place", F.row_number().over(order))
-    return placed.join(takes.select("stratum", "take"), "stratum").where("place <= take").drop("stratum", "place", "take")
+    named = df.withColumns({"stratum": _stratum(keys), "_digest": _seeded(seed, "path")})
+    return lowest(named, ["stratum"], "_digest", "path", allocation(df, n, keys)).select(*df.columns)
 
 
 def split_by_group(df: DataFrame, group: Column, val_fraction: float, seed: int = 0, holdout: Sequence[str] = ()) -> DataFrame:
@@ -84,12 +105,15 @@ def split_by_group(df: DataFrame, group: Column, val_fraction: float, seed: int
     if holdout:
         chosen = sizes.where(F.col("_group").isin(*holdout)).select("_group")
     else:
-        order = Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), F.sha2(F.concat(F.lit(f"{seed}:"), F.col("_group")), 256))
-        target = F.bround(F.sum("size").over(Window.partitionBy(F.lit(0))) * val_fraction)
-        before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        chosen = sizes.withColumns({"target": target, "before": before}).where("before < target").select("_group")
+        # by distinct size first, of which there are few: the groups of a size are taken whole, or as many as are needed by their hash
+        classes = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("rows"))
+        larger = Window.partitionBy(F.lit(0)).orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+        target = F.bround(F.sum("rows").over(Window.partitionBy(F.lit(0))) * val_fraction)
+        before = F.coalesce(F.sum("rows").over(larger), F.lit(0))
+        takes = classes.withColumn("take", F.least(F.col("groups"), F.ceil((target - before) / F.col("size")))).where("take > 0").select("size", "take")
+        chosen = lowest(sizes.withColumn("_digest", _seeded(seed, "_group")), ["size"], "_digest", "_group", takes).select("_group")
     chosen = chosen.withColumn("_val", F.lit(True))
-    share = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), "path"), 256), 1, 8), 16, 10).cast("long") / (1 << 32)
+    share = F.conv(F.substring(_seeded(seed, "path"), 1, 8), 16, 10).cast("long") / (1 << 32)
     held = F.when(F.col("_group").isNull(), share < val_fraction).otherwise(F.coalesce("_val", F.lit(False)))
     return named.join(chosen, "_group", "left").withColumn("split", F.when(held, "val").otherwise("train")).drop("_group", "_val")
 

@@ -91,39 +91,57 @@ class Fuser:
         return cls(**{k: d[k] for k in cls.__dataclass_fields__ if k in d})
 
 
-def loss_and_gradient(df: DataFrame, columns: Sequence[str], at: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
-    """Weighted log loss and its gradient at (weights, bias): one aggregate over the rows, of which the driver gets one."""
+def _linear(at: np.ndarray, columns: Sequence[str]) -> Column:
     z = F.lit(float(at[-1]))
     for w, c in zip(at, columns, strict=False):
         z = z + float(w) * F.col(c)
-    p, y, w = sigmoid(z), F.col("y"), F.col("w")
-    clip = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), p))
-    loss = -(y * F.ln(clip) + (1 - y) * F.ln(1 - clip)) * w
-    row = df.agg(F.sum("w"), F.sum(loss), *[F.sum(w * (p - y) * F.col(c)) for c in columns], F.sum(w * (p - y))).first()
+    return z
+
+
+def _log_loss(z: Column) -> Column:
+    clip = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), sigmoid(z)))
+    return -(F.col("y") * F.ln(clip) + (1 - F.col("y")) * F.ln(1 - clip)) * F.col("w")
+
+
+def _penalty(at: np.ndarray, l2: float) -> float:
+    return l2 / 2 * float((at[:-1] ** 2).sum())
+
+
+def loss_and_gradient(df: DataFrame, columns: Sequence[str], at: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Weighted log loss and its gradient at (weights, bias): one aggregate over the rows, of which the driver gets one."""
+    z = _linear(at, columns)
+    off = F.col("w") * (sigmoid(z) - F.col("y"))
+    row = df.agg(F.sum("w"), F.sum(_log_loss(z)), *[F.sum(off * F.col(c)) for c in columns], F.sum(off)).first()
     g = np.asarray(row[2:], float) / row[0]
     g[:-1] += l2 * at[:-1]
-    return row[1] / row[0] + l2 / 2 * float((at[:-1] ** 2).sum()), g
+    return row[1] / row[0] + _penalty(at, l2), g
+
+
+#: Step sizes that backtracking tries, from the largest on.
+STEPS = tuple(0.5**i for i in range(30))
+
+
+def losses_along(df: DataFrame, columns: Sequence[str], at: np.ndarray, g: np.ndarray, l2: float) -> list[float]:
+    """The loss after each of STEPS against the gradient, all in one aggregate."""
+    named = df.select("w", "y", _linear(at, columns).alias("_z"), _linear(g, columns).alias("_d"))
+    row = named.agg(F.sum("w"), *[F.sum(_log_loss(F.col("_z") - s * F.col("_d"))) for s in STEPS]).first()
+    return [x / row[0] + _penalty(at - s * g, l2) for s, x in zip(STEPS, row[1:], strict=True)]
 
 
 def fit_logistic(df: DataFrame, columns: Sequence[str], l2: float = 0.01, steps: int = 300, tolerance: float = 1e-6) -> np.ndarray:
-    """Gradient descent with backtracking from zero, over rows with y and w; equal rows are counted first."""
+    """Gradient descent with backtracking from zero, over rows with y and w: two aggregates a step. Equal rows are counted first."""
     rows = df.groupBy(*columns, "y").agg(F.sum("w").alias("w")).cache()
     at = np.zeros(len(columns) + 1)
     try:
         loss, g = loss_and_gradient(rows, columns, at, l2)
         for _ in range(steps):
-            step = 1.0
-            for _ in range(30):
-                new = at - step * g
-                new_loss, new_g = loss_and_gradient(rows, columns, new, l2)
-                if new_loss <= loss - 1e-4 * step * float(g @ g):
-                    break
-                step /= 2
-            else:
+            tried = zip(STEPS, losses_along(rows, columns, at, g, l2), strict=True)
+            found = next(((s, x) for s, x in tried if x <= loss - 1e-4 * s * float(g @ g)), None)
+            if found is None:
                 break
-            done = abs(loss - new_loss) < tolerance
-            at, loss, g = new, new_loss, new_g
-            if done:
+            before, at = loss, at - found[0] * g
+            loss, g = loss_and_gradient(rows, columns, at, l2)
+            if abs(before - loss) < tolerance:
                 break
         return at
     finally:

@@ -1,7 +1,9 @@
 """Ranking, threshold and calibration metrics on one plan: counts by distinct score, then running totals.
 
 The shuffle carries distinct scores of a key, not rows; ties are exact, as all rows
-with a score are one step. Sums stay integers until the last division.
+with a score are one step. Sums stay integers until the last division. Where a key has
+very many distinct scores, its running totals are made in ranges of scores, each of
+which starts from what the lower ones add up to, so no task orders a whole key.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUND = 9
+#: Distinct scores from which on a key's running totals are made in RANGES ranges.
+LONG, RANGES = 1_000_000, 256
 
 
 def is_fake(col: str = "label") -> Column:
@@ -22,20 +26,41 @@ def rounded(c: Column) -> Column:
     return F.round(c, ROUND)
 
 
-def curve(df: DataFrame, keys: Sequence[str], score: str = "score", y: Column | None = None) -> DataFrame:
-    """For each distinct score of a key: positives and negatives at (p, n), below (p_below, n_below) and in all (p_all, n_all)."""
+def _zero(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0))
+
+
+def running_totals(steps: DataFrame, keys: Sequence[str], by: str, values: Sequence[str], long: int = LONG, ranges: int = RANGES) -> DataFrame:
+    """Adds of each value the sum over a key's rows with a lower ``by`` (v_below) and over all (v_all); ``by`` is a number, distinct within a key.
+
+    A key of more than ``long`` rows is cut at quantiles of ``by`` into ranges. Rows are ordered within a range only; ranges are added up
+    and joined back, ``ranges`` rows for each key. The table of cuts has a row for each such key, so Spark sends it to all tasks.
+    """
+    cuts = steps.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 4 * ranges).alias("_cuts"))
+    cuts = cuts.where(F.col("_rows") > long).drop("_rows")
+    same = lambda t: [F.col(f"_s.{k}").eqNullSafe(F.col(f"{t}.{k}")) for k in keys]
+    placed = steps.alias("_s").join(cuts.alias("_c"), same("_c"), "left").select("_s.*", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c <= F.col(by))).alias("_range"))
+    sums = placed.groupBy(*keys, "_range").agg(*[F.sum(v).alias(v) for v in values])
+    lower, every = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    sums = sums.select(*keys, "_range", *[_zero(F.sum(v).over(lower)).alias(f"_{v}_low") for v in values], *[F.sum(v).over(every).alias(f"{v}_all") for v in values])
+    below = Window.partitionBy(*keys, "_range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.select("*", *[_zero(F.sum(v).over(below)).alias(f"_{v}_in") for v in values])
+    on = [*same("_t"), F.col("_s._range") == F.col("_t._range")]
+    return inside.alias("_s").join(sums.alias("_t"), on).select(*[f"_s.{c}" for c in steps.columns], *[(F.col(f"_{v}_low") + F.col(f"_{v}_in")).alias(f"{v}_below") for v in values], *[f"{v}_all" for v in values])
+
+
+def curve(df: DataFrame, keys: Sequence[str], score: str = "score", y: Column | None = None, bounded: bool = False) -> DataFrame:
+    """For each distinct score of a key: positives and negatives at (p, n), below (p_below, n_below) and in all (p_all, n_all).
+
+    ``bounded`` says that a key's rows are few by nature, as the pixels of an image: they are ordered in one go.
+    """
     y = is_fake() if y is None else y
     steps = df.select(*keys, F.col(score).alias("score"), y.alias("_y")).groupBy(*keys, "score").agg(F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("n"))
+    if not bounded:
+        return running_totals(steps, keys, "score", ["p", "n"])
     below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return steps.select(
-        "*",
-        zero(F.sum("p").over(below)).alias("p_below"),
-        zero(F.sum("n").over(below)).alias("n_below"),
-        F.sum("p").over(every).alias("p_all"),
-        F.sum("n").over(every).alias("n_all"),
-    )
+    return steps.select("*", *[_zero(F.sum(v).over(below)).alias(f"{v}_below") for v in "pn"], *[F.sum(v).over(every).alias(f"{v}_all") for v in "pn"])
 
 
 def auc(c: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -63,11 +63,10 @@ def per_group_table(df: DataFrame, key: str) -> DataFrame:
 def against_all_reals(df: DataFrame) -> DataFrame:
     """AUC of each generator's fakes against all reals: reals are counted once, by score, and met by running totals."""
     clean = df.where("level = 'clean'")
-    steps = clean.groupBy("detector", "score", F.when(F.col("label") == "fake", known("generator")).alias("group")).agg(F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy("detector").orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    real = F.when(F.col("group").isNull(), F.col("n")).otherwise(0)
-    placed = steps.withColumns({"upto": F.sum(real).over(below), "same": F.sum(real).over(Window.partitionBy("detector", "score")), "reals": F.sum(real).over(Window.partitionBy("detector"))})
-    found = placed.where("group is not null").groupBy("detector", "group").agg(F.sum(F.col("n") * (2 * F.col("upto") - F.col("same"))).alias("s"), F.sum("n").alias("fakes"), F.max("reals").alias("reals"))
+    steps = clean.groupBy("detector", "score").agg(F.sum((F.col("label") != "fake").cast("long")).alias("real"))
+    placed = M.running_totals(steps, ["detector"], "score", ["real"])
+    fakes = clean.where("label = 'fake'").groupBy("detector", "score", known("generator").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    found = fakes.join(placed, ["detector", "score"]).groupBy("detector", "group").agg(F.sum(F.col("n") * (2 * F.col("real_below") + F.col("real"))).alias("s"), F.sum("n").alias("fakes"), F.max("real_all").alias("reals"))
     return found.select("detector", "group", "fakes", F.when(F.col("reals") > 0, M.rounded(F.col("s") / (2 * F.col("fakes") * F.col("reals")))).alias("auc"))
 
 
@@ -84,7 +83,7 @@ def pixel_bundle(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     union = F.col("said") + F.col("pos") - F.col("tp")
     c = c.withColumns({"f1_at_threshold": M.rounded(ratio(2 * F.col("tp"), F.col("said") + F.col("pos"))), "iou": M.rounded(ratio(F.col("tp"), union))})
-    steps = M.curve(pixels, keys, "p", y)
+    steps = M.curve(pixels, keys, "p", y, bounded=True)
     ap = M.average_precision(steps, keys)
     # a grid threshold t counts the scores >= t: the running totals at the first score that reaches it
     reach = F.floor(F.round(F.col("score") * 100, 9))

@@ -1,6 +1,7 @@
 """Hand cases of the operators."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -243,3 +244,24 @@ def test_sessions_as_stream(spark, tmp_path):
 def test_empty_tables(spark):
     df = scored(spark, []).withColumns({"level": F.lit("clean"), "source": F.lit("s"), "generator": F.lit(None).cast("string"), "split": F.lit("val"), "entry_path": F.lit("x"), "elapsed_ms": F.lit(1.0)})
     assert reports.image_table(df).count() == reports.robustness_table(df).count() == reports.timing_table(df).count() == 0
+
+
+def test_running_totals_in_ranges(spark):
+    rng = random.Random(3)
+    rows = [(k, s, rng.randint(0, 3), rng.randint(0, 2)) for k in ("a", "b", None) for s in sorted({round(rng.random() ** 3, 3) for _ in range({"a": 400, "b": 90}.get(k, 5))})]
+    df = spark.createDataFrame(rows, "k string, s double, p long, n long")
+    got = sorted((tuple(r) for r in metrics.running_totals(df, ["k"], "s", ["p", "n"], long=50, ranges=16).select("k", "s", "p", "n", "p_below", "n_below", "p_all", "n_all").collect()), key=repr)
+    own = lambda k: [r for r in rows if r[0] == k]
+    total = lambda part, i: sum(r[i] for r in part)
+    expected = [(k, s, p, n, *(total([r for r in own(k) if r[1] < s], i) for i in (2, 3)), *(total(own(k), i) for i in (2, 3))) for k, s, p, n in rows]
+    assert got == sorted(expected, key=repr)
+
+
+def test_lowest_equals_sorting(spark):
+    rng = random.Random(4)
+    rows = [(k, f"p{i}", f"{rng.choice(['0000', '00a0', '00a1', 'ffff'])}{rng.randint(0, 3):04x}") for k, size in (("a", 300), ("b", 20), ("c", 3)) for i in range(size)]
+    df = spark.createDataFrame(rows, "k string, path string, digest string")
+    for takes in ({"a": 120, "b": 20, "c": 0}, {"a": 1, "b": 7, "c": 9}, {"a": 300}):
+        t = spark.createDataFrame(list(takes.items()), "k string, take long")
+        got = sorted(tuple(r) for r in entries.lowest(df, ["k"], "digest", "path", t).collect())
+        assert got == sorted(x for k, n in takes.items() for x in sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1]))[:n])
