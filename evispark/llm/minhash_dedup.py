@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, map_batches, materialise, table
+from .common import discard, doc_key, map_batches, materialise, table
 from .suffix_dedup import _BYTE, _UP
 
 WORDS, PERCENT = 5, 80
@@ -45,6 +45,8 @@ COORDINATES = 32
 MISS = 1e-8
 #: Classes against one copy of a centre.
 FAN = 256
+#: Bands of classes around a centre by how far they are from it.
+BANDS = 16
 _NULL_KEY = -(1 << 63)
 
 _RNG = np.random.default_rng(5)
@@ -215,9 +217,11 @@ def links_around_centres(compared: DataFrame, roots: DataFrame, percent: int) ->
     """(a, b): similar pairs of classes that were held against the same centre, at least one of which is not similar to it.
 
     With m missing and r more shingles than the centre's n, let g = percent r + 100 m. Two such classes are similar if and only if their
-    differences have (g + g' - (100 - percent) n) / (100 + percent) elements in common. For a class that is not similar to the centre g
-    alone exceeds (100 - percent) n, so its partner's difference must have more than g' / (100 + percent) elements in common: the pair
-    meets in the rarest elements of both. Edits that one class alone has meet nothing, so no pair of a large group is made for them.
+    differences have k = (g + g' - (100 - percent) n) / (100 + percent) elements in common. So they meet in the rarest elements of both,
+    of a difference all but its k - 1 most frequent. As k rises with the partner's g, classes are dealt to BANDS bands by g, and post
+    for each band of partners as many elements as its least g asks for: far from the centre k is nearly the whole difference of the
+    nearer class, of which only the very rarest elements are posted, and edits that one class alone has meet nothing. The places of the
+    first common element bound what can follow it, and prune what meets.
     """
     scale = 100 + percent
     own = compared.select("a", "b", "similar", "diff", (percent * (F.col("n_b") - F.col("n_a") + F.col("missing")) + 100 * F.col("missing")).alias("g"), ((100 - percent) * F.col("n_a")).alias("room"))
@@ -225,17 +229,23 @@ def links_around_centres(compared: DataFrame, roots: DataFrame, percent: int) ->
     elements = own.select("a", "b", F.explode("diff").alias("e"))
     frequency = elements.groupBy("a", "e").agg(F.count(F.lit(1)).alias("df"))
     ranked = elements.join(frequency, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("sorted"))
-    ranked = own.drop("diff").join(ranked, ["a", "b"])
-    size = F.size("sorted")
-
-    def posted(rows: DataFrame, length, names: dict[str, str]) -> DataFrame:
-        first = rows.select("a", "b", "root", "g", "room", F.explode(F.slice("sorted", F.lit(1), F.greatest(F.lit(0), length).cast("int"))).alias("p"))
-        return first.where("p.df > 1").select("a", F.col("p.e").alias("e"), *[F.col(c).alias(n) for c, n in names.items()])
-
-    least = F.ceil((F.col("g") - F.col("room")) / scale)
-    far = posted(ranked.where("not similar"), size - least + 1, {"b": "x", "root": "root_x", "g": "g_x", "room": "room"})
-    near = posted(ranked, size - F.floor(F.col("g") / scale), {"b": "y", "root": "root_y", "g": "g_y"})
-    met = far.join(near, ["a", "e"]).where((F.col("x") != F.col("y")) & (F.col("root_x") != F.col("root_y"))).select("a", "x", "y", "g_x", "g_y", "room").distinct()
+    width = F.greatest(F.lit(1), F.ceil(F.col("room") / (BANDS // 2)))
+    band = lambda g: F.least(F.floor(g / width), F.lit(BANDS - 1)).cast("int")
+    ranked = own.drop("diff").join(ranked, ["a", "b"]).select("*", F.size("sorted").alias("size"), width.alias("width"), band(F.col("g")).alias("band"), band(F.col("room") + 1).alias("least_far"))
+
+    def posted(rows: DataFrame, partners, least, names: dict[str, str]) -> DataFrame:
+        """The elements of a difference but for the k - 1 most frequent, for each band of partners; those that no other has are left out."""
+        each = rows.withColumn("partner", F.explode(partners))
+        k = F.greatest(F.lit(1), F.ceil((F.col("g") + least - F.col("room")) / scale))
+        first = F.transform(F.slice("sorted", F.lit(1), F.greatest(F.lit(0), F.col("size") - k + 1).cast("int")), lambda p, i: F.struct(p.df.alias("df"), p.e.alias("e"), (F.col("size") - i).alias("left")))
+        each = each.select("*", F.explode(F.filter(first, lambda p: p.df > 1)).alias("p"))
+        return each.select("a", F.col("p.e").alias("e"), *[F.col(c).alias(n) for c, n in names.items()], F.col("p.left").alias(f"left_{names['b']}"))
+
+    low = F.col("partner") * F.col("width")
+    far = posted(ranked.where("not similar"), F.sequence(F.lit(0), F.lit(BANDS - 1)), low, {"b": "x", "root": "root_x", "g": "g_x", "room": "room", "band": "far", "partner": "near"})
+    near = posted(ranked, F.sequence("least_far", F.lit(BANDS - 1)), F.greatest(low, F.col("room") + 1), {"b": "y", "root": "root_y", "g": "g_y", "band": "near", "partner": "far"})
+    enough = scale * F.least("left_x", "left_y") >= F.col("g_x") + F.col("g_y") - F.col("room")
+    met = far.join(near, ["a", "e", "far", "near"]).where((F.col("x") != F.col("y")) & (F.col("root_x") != F.col("root_y")) & enough).select("a", "x", "y", "g_x", "g_y", "room").distinct()
     diffs = own.select("a", "b", "diff")
     both = met.join(diffs.toDF("a", "x", "diff_x"), ["a", "x"]).join(diffs.toDF("a", "y", "diff_y"), ["a", "y"])
     common = F.size(F.array_intersect("diff_x", "diff_y"))
@@ -249,13 +259,16 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         left, right = labels.toDF("a", "x"), labels.toDF("b", "y")
         cross = edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        hooks = materialise(cross.groupBy("y").agg(F.min("x").alias("x")), "hooks")
-        if hooks.isEmpty():
+        told = materialise(cross.groupBy("y").agg(F.min("x").alias("x")), "hooks")
+        if told.isEmpty():
+            discard(edges, told)
             return labels
+        hooks = told
         for _ in range(2):  # pointer jumping
             up = hooks.select(F.col("y").alias("x"), F.col("x").alias("z"))
             hooks = hooks.join(up, "x", "left").select("y", F.coalesce("z", "x").alias("x"))
-        labels = materialise(labels.join(hooks.select(F.col("y").alias("root"), "x"), "root", "left").select("cid", F.coalesce("x", "root").alias("root")), "roots")
+        before, labels = labels, materialise(labels.join(hooks.select(F.col("y").alias("root"), "x"), "root", "left").select("cid", F.coalesce("x", "root").alias("root")), "roots")
+        discard(before, told)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
