@@ -53,43 +53,68 @@ def exact_quality(luminance: np.ndarray, chrominance: np.ndarray | None) -> int
     return next((q for q in range(100, 0, -1) if (quant_table(LUMINANCE, q) == luminance).all() and (quant_table(CHROMINANCE, q) == chrominance).all()), None)
 
 
-def _blocks(a: np.ndarray) -> np.ndarray:
-    a = np.pad(a, [(0, -a.shape[0] % 8), (0, -a.shape[1] % 8)], mode="edge")
-    return a.reshape(a.shape[0] // 8, 8, a.shape[1] // 8, 8).swapaxes(1, 2)
+@lru_cache(maxsize=1)
+def _basis() -> np.ndarray:
+    """The two-dimensional transform of a block as one matrix over its 64 samples."""
+    return np.kron(dct_matrix(8), dct_matrix(8)).astype(np.float32)
 
 
-def _quantised(a: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A plane after transform, quantisation and back."""
-    d, t = dct_matrix(8), table.reshape(8, 8)
-    b = _blocks(a - 128)
-    coded = np.rint(d @ b @ d.T / t) * t
-    out = (d.T @ coded @ d).swapaxes(1, 2)
-    return out.reshape(out.shape[0] * 8, -1)[: a.shape[0], : a.shape[1]] + 128
+def transformed(a: np.ndarray) -> tuple[np.ndarray, tuple[int, int]]:
+    """Coefficients (blocks in raster order, 64) of a plane, edges repeated up to whole blocks, and the plane's shape."""
+    a = np.pad(a, [(0, -a.shape[0] % 8), (0, -a.shape[1] % 8)], mode="edge") if a.shape[0] % 8 or a.shape[1] % 8 else a
+    blocks = a.reshape(a.shape[0] // 8, 8, a.shape[1] // 8, 8).swapaxes(1, 2).reshape(-1, 64)
+    return blocks @ _basis().T, a.shape
+
+
+def restored(coefficients: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    back = (coefficients @ _basis()).reshape(shape[0] // 8, shape[1] // 8, 8, 8)
+    return back.swapaxes(1, 2).reshape(shape)
+
+
+Plane = tuple[np.ndarray, tuple[int, int], np.ndarray, bool]
+
+
+def planes(rgb: np.ndarray, subsample: bool = True) -> list[Plane]:
+    """What JPEG coding quantises: the transforms of luma and chroma with their base tables, and whether each is of half size."""
+    r, g, b = rgb.transpose(2, 0, 1).astype(np.float32, order="C")  # plane by plane, as rows of pixels are slow to walk
+    y = np.float32(0.299) * r + np.float32(0.587) * g + np.float32(0.114) * b
+    out = [(*transformed(np.rint(y) - 128), LUMINANCE, False)]
+    for p in ((b - y) / np.float32(1.772), (r - y) / np.float32(1.402)):
+        if subsample:
+            p = np.pad(p, [(0, p.shape[0] % 2), (0, p.shape[1] % 2)], mode="edge") if p.shape[0] % 2 or p.shape[1] % 2 else p
+            p = (p[::2, ::2] + p[1::2, ::2] + p[::2, 1::2] + p[1::2, 1::2]) / 4
+        out.append((*transformed(np.rint(p)), CHROMINANCE, subsample))
+    return out
+
+
+def decoded(coded: list[Plane], quality: int, height: int, width: int) -> np.ndarray:
+    """Pixels of the planes after quantisation at a quality."""
+    got = []
+    for coefficients, shape, base, half in coded:
+        table = quant_table(base, quality).astype(np.float32)
+        p = np.rint(restored(np.rint(coefficients / table) * table, shape))
+        if half:
+            p = p.repeat(2, 0).repeat(2, 1)
+        got.append(np.clip(p[:height, :width], -128, 127))
+    y, cb, cr = got
+    y = y + 128
+    r, b = y + np.float32(1.402) * cr, y + np.float32(1.772) * cb
+    g = (y - np.float32(0.299) * r - np.float32(0.114) * b) / np.float32(0.587)
+    out = np.empty((height, width, 3), np.uint8)
+    for i, p in enumerate((r, g, b)):
+        out[..., i] = np.clip(np.rint(p, out=p), 0, 255, out=p)
+    return out
 
 
 def jpeg(rgb: np.ndarray, quality: int, subsample: bool = True) -> np.ndarray:
     """What an image is after JPEG coding: entropy coding loses nothing, so it is left out."""
-    c = rgb.astype(np.float64)
-    y = luma(c)
-    cb, cr = (c[..., 2] - y) / 1.772 + 128, (c[..., 0] - y) / 1.402 + 128
-    planes = [_quantised(np.rint(y), quant_table(LUMINANCE, quality))]
-    for p in (cb, cr):
-        if subsample:
-            q = np.pad(p, [(0, p.shape[0] % 2), (0, p.shape[1] % 2)], mode="edge")
-            q = (q[::2, ::2] + q[1::2, ::2] + q[::2, 1::2] + q[1::2, 1::2]) / 4
-            q = _quantised(np.rint(q), quant_table(CHROMINANCE, quality)).repeat(2, 0).repeat(2, 1)[: p.shape[0], : p.shape[1]]
-        else:
-            q = _quantised(np.rint(p), quant_table(CHROMINANCE, quality))
-        planes.append(q)
-    y, cb, cr = (np.clip(np.rint(p), 0, 255) for p in planes)
-    r, b = y + 1.402 * (cr - 128), y + 1.772 * (cb - 128)
-    g = (y - 0.299 * r - 0.114 * b) / 0.587
-    return np.clip(np.rint(np.stack([r, g, b], -1)), 0, 255).astype(np.uint8)
+    return decoded(planes(rgb, subsample), quality, *rgb.shape[:2])
 
 
 def ela(rgb: np.ndarray, quality: int = 95) -> dict:
     """Error level analysis: what coding once more changes, and how unevenly."""
-    diff = np.abs(rgb.astype(np.int16) - jpeg(rgb, quality)).max(-1).astype(np.float64)
+    off = np.abs(rgb.astype(np.int16) - jpeg(rgb, quality))
+    diff = np.maximum(np.maximum(off[..., 0], off[..., 1]), off[..., 2]).astype(np.float32)
     scaled = p99_scaled(diff)
     share = float((scaled > 0.5).mean())
     b = block_reduce(diff)
@@ -98,10 +123,18 @@ def ela(rgb: np.ndarray, quality: int = 95) -> dict:
 
 
 def jpeg_ghost(rgb: np.ndarray, qualities: tuple[int, ...] = tuple(range(50, 100, 5))) -> dict:
-    """Blocks whose error has a dip at another quality than the image's."""
-    errors = np.stack([block_reduce(((rgb.astype(np.float64) - jpeg(rgb, q)) ** 2).mean(-1)) for q in qualities])
-    if not errors[0].size:
-        return {"score": 0.5, "map": np.zeros(rgb.shape[:2], np.float32)}
+    """Blocks whose error has a dip at another quality than the image's. The transforms are made once for all qualities."""
+    h, w = rgb.shape[:2]
+    if h < 16 or w < 16:
+        return {"score": 0.5, "map": np.zeros((h, w), np.float32)}
+    coded, signed = planes(rgb), rgb.astype(np.int16)
+
+    def error(q: int) -> np.ndarray:
+        off = (signed - decoded(coded, q, h, w)).astype(np.float32)
+        off *= off
+        return block_reduce(off[..., 0] + off[..., 1] + off[..., 2]) / 3
+
+    errors = np.stack([error(q) for q in qualities])
     spread = errors.std((1, 2), keepdims=True)
     z = np.where(spread > 1e-9, (errors - errors.mean((1, 2), keepdims=True)) / np.maximum(spread, 1e-9), 0.0)
     before = np.concatenate([np.ones_like(z[:1], bool), z[1:] < z[:-1]])
@@ -114,10 +147,30 @@ def jpeg_ghost(rgb: np.ndarray, qualities: tuple[int, ...] = tuple(range(50, 100
     ghost = (depth >= 0.4) & apart & (block_reduce(luma(rgb), what="var") >= 20)
     share = float(ghost.mean())
     heat = p99_scaled(np.maximum(depth, 0)).repeat(16, 0).repeat(16, 1)
-    heat = np.pad(heat, [(0, rgb.shape[0] - heat.shape[0]), (0, rgb.shape[1] - heat.shape[1])])
+    heat = np.pad(heat, [(0, h - heat.shape[0]), (0, w - heat.shape[1])])
     return {"score": float(np.clip(0.5 + 0.2 * np.tanh((share - 0.03) / 0.03), 0.3, 0.7)), "map": heat, "share": share}
 
 
+#: Places in a block whose coefficients tell of an earlier coding; values counted on either side of 0; the part of the spectrum that is searched, and how it is smoothed.
+PLACES, REACH, BAND, SMOOTH = ((0, 1), (1, 0), (1, 1)), 64, (15, 64), 41
+#: A comb that stands out so much is suspected to come from an earlier coding.
+TWICE = 1.9
+
+
+def comb(values: np.ndarray) -> float:
+    """How far the histogram of whole numbers is a comb: the highest part of its spectrum over the spectrum's running mean."""
+    counts = np.bincount(np.clip(values, -REACH, REACH) + REACH, minlength=2 * REACH + 1)
+    spectrum = np.abs(np.fft.rfft(counts))
+    sums = np.cumsum(np.concatenate([[0.0], np.pad(spectrum, SMOOTH // 2, mode="edge")]))
+    mean = (sums[SMOOTH:] - sums[:-SMOOTH]) / SMOOTH
+    return float((spectrum / np.maximum(mean, 1e-9))[BAND[0] : BAND[1]].max())
+
+
+def double_quantisation(coefficients: np.ndarray) -> float:
+    """Mean comb of quantised luma coefficients (rows, columns, 8, 8): numbers that an earlier, coarser coding has left out."""
+    return float(np.mean([comb(coefficients[:, :, y, x].ravel()) for y, x in PLACES]))
+
+
 def phase_energy(y: np.ndarray, axis: int) -> np.ndarray:
     """Mean size of first differences by the position, modulo 8, of their first pixel."""
     d = np.abs(np.diff(y, axis=axis)).mean(1 - axis)
@@ -125,16 +178,19 @@ def phase_energy(y: np.ndarray, axis: int) -> np.ndarray:
 
 
 def grid_phase(rgb: np.ndarray) -> dict:
-    """Where the 8-pixel coding grid begins, and how far it stands out: from its mean and from the next phase."""
+    """Where the 8-pixel coding grid begins, and how far it stands out: from its mean and from the next phase; and the same of the next strongest grid."""
     y, out = luma(rgb), {}
-    strength, margins = [], []
+    strength, margins, second = [], [], []
     for name, axis in (("dy", 0), ("dx", 1)):
         e = phase_energy(y, axis)
         order = np.sort(e)
         out[name] = int((7 - e.argmax()) % 8)
         strength.append(order[-1] / max(e.mean(), 1e-9))
         margins.append(order[-1] / max(order[-2], 1e-9))
-    return out | {"strength": float(np.mean(strength)), "margin": float(min(margins))}
+        rest = np.delete(e, e.argmax())
+        out[f"second_{name}"] = int((7 - np.where(np.arange(8) == e.argmax(), -1.0, e).argmax()) % 8)
+        second.append(rest.max() / max(rest.mean(), 1e-9))
+    return out | {"strength": float(np.mean(strength)), "margin": float(min(margins)), "second_strength": float(np.mean(second))}
 
 
 def copy_move(rgb: np.ndarray, size: int = 16, step: int = 4) -> dict:

@@ -1,7 +1,10 @@
 """The registry of image tools and the one UDF that runs them over image columns.
 
 An image is decoded once for all tools and levels; a tool that fails abstains with
-0.5 and says why, and never ends the job.
+0.5 and says why, and never ends the job. Three kinds of tools are registered: kernels
+over pixels, kernels that need the encoded file as well, and tools that are columns over
+what the files say (``frame``). Tools with learned weights are slots: they abstain until
+``load`` finds weights, so that a plan that names them runs anywhere.
 """
 
 from __future__ import annotations
@@ -15,11 +18,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..kernels import pixels, signals
+from ..kernels import codecs, pixels, signals
+from ..sources.images import read_metadata, slices
+from .metadata import judged
 from .suite import DEFAULT_SUITE, Level
 
 Kernel = Callable[..., dict]
+ABSTAIN = 0.5
 
 
 @dataclass(frozen=True)
@@ -57,9 +64,13 @@ class Parameter:
 @dataclass(frozen=True)
 class Tool:
     name: str
-    category: str  # signal, view, baseline
-    run: Kernel
+    category: str  # signal, view, baseline, localizer, learned
+    run: Kernel | None
     parameters: Sequence[Parameter] = field(default_factory=tuple)
+    encoded: bool = False  # the kernel takes the file's bytes as ``raw`` besides the pixels
+    frame: Callable[[DataFrame], DataFrame] | None = None  # from (path, content) to (path, score, details)
+    load: Callable[[], Kernel | None] | None = None  # once per task: the kernel, or None where its weights are missing
+    note: str = ""
 
     def arguments(self, given: dict) -> dict:
         unknown = set(given) - {p.name for p in self.parameters}
@@ -101,6 +112,61 @@ def _grid(rgb: np.ndarray) -> dict:
     return {"score": 0.75 if moved else 0.45} | found
 
 
+def _double_jpeg(rgb: np.ndarray, raw: bytes | None) -> dict:
+    """A grid that is off its place 0.75; a second grid, or a comb in the coefficients, 0.60; neither a JPEG nor a grid 0.45; else 0.40."""
+    found = signals.grid_phase(rgb)
+    is_jpeg = raw is not None and codecs.kind_of(raw) == "JPEG"
+    ratio = None
+    if is_jpeg:
+        try:
+            ratio = signals.double_quantisation(codecs.luma_coefficients(raw)[0])
+        except codecs.Unreadable as e:
+            found["coefficients"] = str(e)
+    origin = (found["dx"], found["dy"]) == (0, 0)
+    second = origin and (found["second_dx"], found["second_dy"]) != (0, 0) and found["second_strength"] > 1.6
+    if not origin and found["strength"] > 1.3 and found["margin"] > 1.15:
+        score = 0.75
+    elif second or ratio is not None and ratio > signals.TWICE:
+        score = 0.60
+    else:
+        score = 0.45 if not is_jpeg and found["strength"] <= 1.3 else 0.40
+    return {"score": score} | found | ({} if ratio is None else {"comb": ratio})
+
+
+def _judged_metadata(files: DataFrame) -> DataFrame:
+    shown = F.struct("ai_markers", "editor_markers", "platform_markers", "thumbnail_mismatch", "camera_make", "note", "error")
+    return judged(read_metadata(files)).select("path", "score", F.to_json(shown).alias("details"))
+
+
+def ensemble(members: Sequence[str], mode: str = "max") -> Kernel:
+    """A kernel over the maps of members that don't abstain; without any it abstains and names them all."""
+    tools = [get(n) for n in members]
+
+    def run(rgb: np.ndarray, mode: str = mode) -> dict:
+        ran, maps, scores = [], [], {}
+        for tool in tools:
+            kernel = tool.run or (tool.load() if tool.load else None)
+            out = kernel(rgb) if kernel else {"score": ABSTAIN}
+            scores[tool.name] = round(out["score"], 6)
+            if out.get("map") is not None:
+                ran.append(tool.name)
+                own = out["map"]
+                maps.append(own if own.shape == rgb.shape[:2] else _resized(own[..., None].repeat(3, -1), *rgb.shape[:2], whole=False)[..., 0])
+        if not maps:
+            return {"score": ABSTAIN, "reason": f"no member has a map: {', '.join(members)}"}
+        both = pixels.combine(maps, mode)
+        return {"score": pixels.top_fraction_score(both), "map": both, "members": ", ".join(ran), "member_scores": json.dumps(scores)}
+
+    return run
+
+
+def _missing() -> None:
+    """No weights are shipped; a deployment registers the tool again with a loader of its own."""
+    return None
+
+
+register(Tool("metadata", "signal", None, frame=_judged_metadata))
+register(Tool("double_jpeg", "signal", _double_jpeg, encoded=True))
 register(Tool("ela", "signal", signals.ela, (Parameter("quality", int, 95, 50, 100),)))
 register(Tool("jpeg_ghost", "signal", signals.jpeg_ghost))
 register(Tool("copy_move", "signal", signals.copy_move))
@@ -113,8 +179,22 @@ register(Tool("constant_fake", "baseline", lambda rgb: {"score": 1.0}))
 register(Tool("random", "baseline", _random, (Parameter("seed", int, 0),)))
 
 
-def _resized(rgb: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned."""
+SIGNALS_MEAN = ("metadata", "ela", "jpeg_ghost", "double_jpeg", "copy_move", "sd_watermark", "c2pa")
+LEARNED = (
+    ("sd_watermark", "signal", "no watermark decoder is installed"),
+    ("c2pa", "signal", "no reader of signed manifests is installed; their rules are evidence.signed_manifest_score"),
+    ("dinov2_head", "learned", "no backbone and no head are installed"),
+    ("iml_vit", "localizer", "no weights are installed"),
+    ("catnet_v2", "localizer", "no weights are installed"),
+    ("dino_inpaint", "localizer", "no weights are installed"),
+)
+for _name, _category, _note in LEARNED:
+    register(Tool(_name, _category, None, load=_missing, note=_note))
+register(Tool("localizer_ensemble", "localizer", ensemble(("iml_vit", "catnet_v2", "dino_inpaint")), (Parameter("mode", str, "max", choices=("max", "mean", "rank_mean")),)))
+
+
+def _resized(rgb: np.ndarray, h: int, w: int, whole: bool = True) -> np.ndarray:
+    """Bilinear, pixel centres aligned; rounded to bytes unless told otherwise."""
     y = np.clip((np.arange(h) + 0.5) * rgb.shape[0] / h - 0.5, 0, rgb.shape[0] - 1)
     x = np.clip((np.arange(w) + 0.5) * rgb.shape[1] / w - 0.5, 0, rgb.shape[1] - 1)
     y0, x0 = y.astype(int), x.astype(int)
@@ -122,7 +202,8 @@ def _resized(rgb: np.ndarray, h: int, w: int) -> np.ndarray:
     fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
     c = rgb.astype(np.float64)
     top, low = c[y0][:, x0] * (1 - fx) + c[y0][:, x1] * fx, c[y1][:, x0] * (1 - fx) + c[y1][:, x1] * fx
-    return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
+    out = top * (1 - fy) + low * fy
+    return np.rint(out).astype(np.uint8) if whole else out
 
 
 def perturb(rgb: np.ndarray, level: Level) -> np.ndarray | None:
@@ -152,33 +233,88 @@ def perturb(rgb: np.ndarray, level: Level) -> np.ndarray | None:
 RECORD = "entry_path string, level string, tool string, score double, details string, elapsed_ms double"
 
 
+def _record(path: str, level: str, name: str, began: float, score: float, note: dict) -> tuple:
+    return path, level, name, float(score), json.dumps(note, sort_keys=True, default=float), (time.perf_counter() - began) * 1000
+
+
+def _plain(out: dict) -> dict:
+    """What a kernel says besides score and map; of a map its mean and a digest, so that a change shows."""
+    note = {k: v for k, v in out.items() if isinstance(v, (int, float, str, tuple)) and k != "score"}
+    if (found := out.get("map")) is not None:
+        found = np.asarray(found, np.float32)
+        note |= {"map_mean": round(float(found.mean()), 6) if found.size else 0.0, "map_shape": list(found.shape)}
+    return note
+
+
 def run_tools(images: DataFrame, tools: Sequence[str], levels: Sequence[Level] = DEFAULT_SUITE[:1], arguments: dict[str, dict] | None = None) -> DataFrame:
-    """Score records of images (entry_path, height, width, rgb binary): every tool at every level."""
-    wanted = [(get(n), get(n).arguments((arguments or {}).get(n, {}))) for n in tools]
+    """Score records of images (entry_path, height, width, rgb binary, and raw binary if files are at hand): every tool at every level.
+
+    A batch is handled a few megabytes at a time. Whatever a tool or a level does wrong is its record's error alone. Encoded files
+    exist at the clean level only; elsewhere tools that need them abstain.
+    """
+    wanted = [(t, t.arguments((arguments or {}).get(t.name, {}))) for t in map(get, tools)]
+    framed = [t for t, _ in wanted if t.frame]
+    named = [(t.name, args) for t, args in wanted if not t.frame]
+    has_raw = "raw" in images.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = [(get(n), get(n).run or (get(n).load() if get(n).load else None), args) for n, args in named]
         for batch in batches:
-            rows = []
-            for path, h, w, data in zip(*(batch.column(c).to_pylist() for c in ("entry_path", "height", "width", "rgb")), strict=True):
-                broken = data is None or h is None or w is None or len(data) != 3 * h * w
-                rgb = None if broken else np.frombuffer(data, np.uint8).reshape(h, w, 3)
-                for level in levels:
-                    seen = None if rgb is None else perturb(rgb, level)
-                    for tool, args in wanted:
-                        began, note = time.perf_counter(), {}
-                        score = 0.5
-                        if seen is None:
-                            note = {"error": "unreadable image" if broken else f"{level.kind} is unsupported"}
-                        else:
+            for part in slices(batch, "rgb"):
+                rows = []
+                for i in range(part.num_rows):
+                    path, h, w = (part.column(c)[i].as_py() for c in ("entry_path", "height", "width"))
+                    data, raw = part.column("rgb")[i].as_py(), part.column("raw")[i].as_py() if has_raw else None
+                    broken = data is None or h is None or w is None or len(data) != 3 * h * w or not len(data)
+                    rgb = None if broken else np.frombuffer(data, np.uint8).reshape(h, w, 3)
+                    for level in levels:
+                        began, seen, fault = time.perf_counter(), None, "unreadable image"
+                        if rgb is not None:
                             try:
-                                out = tool.run(seen, **args)
-                                score = out["score"]
-                                note = {k: v for k, v in out.items() if isinstance(v, (int, float, str, tuple)) and k != "score"}
-                            except (ValueError, IndexError, ArithmeticError) as e:
-                                note = {"error": str(e)}
-                        rows.append((path, level.name, tool.name, float(score), json.dumps(note, sort_keys=True, default=float), (time.perf_counter() - began) * 1000))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["entry_path", "level", "tool", "score", "details", "elapsed_ms"])
-
-    return images.select("entry_path", "height", "width", "rgb").mapInArrow(run, RECORD)
+                                seen = perturb(rgb, level)
+                                fault = f"{level.kind} is unsupported"
+                            except Exception as e:  # noqa: BLE001  a level that fails is this image's error alone
+                                fault = f"{level.name}: {e or type(e).__name__}"
+                        for tool, kernel, args in ready:
+                            began = time.perf_counter()
+                            own = raw if level.kind == "clean" else None
+                            if seen is None:
+                                score, note = ABSTAIN, {"error": fault}
+                            elif kernel is None:
+                                score, note = ABSTAIN, {"reason": tool.note or "no weights are installed"}
+                            else:
+                                try:
+                                    out = kernel(seen, raw=own, **args) if tool.encoded else kernel(seen, **args)
+                                    score, note = float(out["score"]), _plain(out)
+                                except Exception as e:  # noqa: BLE001
+                                    score, note = ABSTAIN, {"error": str(e) or type(e).__name__}
+                            rows.append(_record(path, level.name, tool.name, began, score, note))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                kinds = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["entry_path", "level", "tool", "score", "details", "elapsed_ms"])
+
+    out = images.select("entry_path", "height", "width", "rgb", *(["raw"] if has_raw else [])).mapInArrow(run, RECORD)
+    for tool in framed:
+        out = out.unionByName(_framed(images, tool, levels))
+    return out
+
+
+def _framed(images: DataFrame, tool: Tool, levels: Sequence[Level]) -> DataFrame:
+    """Records of a tool that is a plan of its own: over the encoded files where there are any."""
+    rest = [x.name for x in levels if x.kind != "clean" or "raw" not in images.columns]
+    none = images.select("entry_path", F.explode(F.array(*map(F.lit, rest)) if rest else F.array().cast("array<string>")).alias("level"))
+    out = none.select("entry_path", "level", F.lit(tool.name).alias("tool"), F.lit(ABSTAIN).alias("score"), F.lit('{"reason": "no encoded file at hand"}').alias("details"), F.lit(0.0).alias("elapsed_ms"))
+    clean = [x.name for x in levels if x.name not in rest]
+    if clean:
+        judged_ = tool.frame(images.select(F.col("entry_path").alias("path"), F.col("raw").alias("content")))
+        own = judged_.select(F.col("path").alias("entry_path"), F.explode(F.array(*map(F.lit, clean))).alias("level"), F.lit(tool.name).alias("tool"), "score", "details", F.lit(None).cast("double").alias("elapsed_ms"))
+        out = out.unionByName(own)
+    return out
+
+
+def signals_mean(records: DataFrame, members: Sequence[str] = SIGNALS_MEAN) -> DataFrame:
+    """Records of a baseline: the mean score of an image's signals at a level, abstentions included; times add up."""
+    own = records.where(F.col("tool").isin(*members))
+    mean = F.sum(F.round(F.col("score") * 1_000_000_000).cast("long")) / F.count(F.lit(1)) / 1_000_000_000
+    found = own.groupBy("entry_path", "level").agg(mean.alias("score"), F.sum("elapsed_ms").alias("elapsed_ms"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "score"))))).alias("details"))
+    return found.select("entry_path", "level", F.lit("signals_mean").alias("tool"), "score", "details", "elapsed_ms")
