@@ -74,17 +74,11 @@ def stitch(shape: tuple[int, int], tiles: list[tuple[int, int, np.ndarray]]) ->
 
 
 def center_crop(a: np.ndarray, size: int) -> np.ndarray:
-    a = padded(a, size)
+    a = mirrored(a, size)
     y, x = (a.shape[0] - size) // 2, (a.shape[1] - size) // 2
     return a[y : y + size, x : x + size]
 
 
-def padded(a: np.ndarray, size: int) -> np.ndarray:
-    """At least that large, mirrored at the far edges."""
-    grow = [(0, max(0, size - n)) for n in a.shape[:2]] + [(0, 0)] * (a.ndim - 2)
-    return np.pad(a, grow, mode="reflect" if min(a.shape[:2]) > 1 and all(g[1] < n for g, n in zip(grow, a.shape, strict=False)) else "symmetric") if any(g[1] for g in grow) else a
-
-
 def grid_crops(shape: tuple[int, int], size: int, limit: int | None = None) -> list[tuple[int, int]]:
     """Whole tiles of a grid, the nearest to the centre first, ties from top left."""
     ys, xs = range(0, shape[0] - size + 1, size), range(0, shape[1] - size + 1, size)
@@ -141,10 +135,37 @@ def pyramid(a: np.ndarray, least: int = 1) -> list[np.ndarray]:
     return levels
 
 
-def png(gray: np.ndarray) -> bytes:
-    """An 8-bit PNG of values in [0, 1], clipped and cut off."""
-    rows = (np.clip(gray, 0, 1) * 255).astype(np.uint8)
+def _png_file(rows: np.ndarray, colour: int) -> bytes:
     chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
     raw = b"".join(b"\x00" + r.tobytes() for r in rows)
-    head = rows.shape[1].to_bytes(4, "big") + rows.shape[0].to_bytes(4, "big") + b"\x08\x00\x00\x00\x00"
+    head = rows.shape[1].to_bytes(4, "big") + rows.shape[0].to_bytes(4, "big") + bytes([8, colour, 0, 0, 0])
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def png(gray: np.ndarray) -> bytes:
+    """An 8-bit PNG of values in [0, 1], clipped and cut off."""
+    return _png_file((np.clip(gray, 0, 1) * 255).astype(np.uint8), 0)
+
+
+def png_rgb(rgb: np.ndarray) -> bytes:
+    """A lossless PNG of RGB pixels."""
+    return _png_file(np.ascontiguousarray(rgb, np.uint8), 2)
+
+
+def pad_for_tiles(a: np.ndarray, tile: int) -> np.ndarray:
+    """An image of at least one tile, filled up with zeros at the far edges."""
+    grow = [(0, max(0, tile - n)) for n in a.shape[:2]] + [(0, 0)] * (a.ndim - 2)
+    return np.pad(a, grow) if any(g[1] for g in grow) else a
+
+
+def mirrored(a: np.ndarray, size: int) -> np.ndarray:
+    """At least that large, the same amount on both sides, mirrored without repeating the edge however far it goes."""
+    for axis in (0, 1):
+        n = a.shape[axis]
+        more = max(0, size - n)
+        if more:
+            at = np.arange(-(more // 2), n + more - more // 2)
+            period = max(1, 2 * (n - 1))
+            at = np.abs((at + n - 1) % period - (n - 1)) if n > 1 else np.zeros_like(at)
+            a = np.take(a, at, axis)
+    return a

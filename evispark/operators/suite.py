@@ -35,9 +35,28 @@ DEFAULT_SUITE = (
     Level("noise_5", "gaussian_noise", {"sigma": 5}),
     Level("social_1080_q80", "social", {"max_side": 1080, "quality": 80}),
 )
+LOCALIZATION_SUITE = tuple(x for x in DEFAULT_SUITE if x.kind in ("clean", "jpeg", "webp", "gaussian_noise"))
+KINDS = ("clean", "jpeg", "webp", "resize", "resize_roundtrip", "center_crop", "gaussian_noise", "social")
 GEOMETRY_KEPT = ("clean", "jpeg", "webp", "gaussian_noise")
 
 
+def suite_of(levels: Sequence[dict]) -> tuple[Level, ...]:
+    """A suite from the mappings of a suite file: names differ and kinds are known."""
+    out = tuple(Level(x["name"], x["kind"], dict(x.get("params") or {})) for x in levels)
+    if unknown := {x.kind for x in out} - set(KINDS):
+        raise ValueError(f"unknown kinds of levels: {sorted(unknown)}")
+    if len({x.name for x in out}) < len(out):
+        raise ValueError("two levels have the same name")
+    return out
+
+
+def read_suite(path: str) -> tuple[Level, ...]:
+    """The levels of a suite file, in order."""
+    from ..sources.datasets import _yaml
+
+    return suite_of(_yaml(path).get("levels", []))
+
+
 def preserves_geometry(kind: Column) -> Column:
     return kind.isin(*GEOMETRY_KEPT)
 

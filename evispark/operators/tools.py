@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels import codecs, pixels, signals
@@ -151,7 +151,7 @@ def ensemble(members: Sequence[str], mode: str = "max") -> Kernel:
             if out.get("map") is not None:
                 ran.append(tool.name)
                 own = out["map"]
-                maps.append(own if own.shape == rgb.shape[:2] else _resized(own[..., None].repeat(3, -1), *rgb.shape[:2], whole=False)[..., 0])
+                maps.append(own if own.shape == rgb.shape[:2] else resized(own[..., None].repeat(3, -1), *rgb.shape[:2], whole=False)[..., 0])
         if not maps:
             return {"score": ABSTAIN, "reason": f"no member has a map: {', '.join(members)}"}
         both = pixels.combine(maps, mode)
@@ -190,10 +190,11 @@ LEARNED = (
 )
 for _name, _category, _note in LEARNED:
     register(Tool(_name, _category, None, load=_missing, note=_note))
-register(Tool("localizer_ensemble", "localizer", ensemble(("iml_vit", "catnet_v2", "dino_inpaint")), (Parameter("mode", str, "max", choices=("max", "mean", "rank_mean")),)))
+ENSEMBLE = ("iml_vit", "catnet_v2", "dino_inpaint")
+register(Tool("localizer_ensemble", "localizer", ensemble(ENSEMBLE), (Parameter("mode", str, "max", choices=("max", "mean", "rank_mean")),)))
 
 
-def _resized(rgb: np.ndarray, h: int, w: int, whole: bool = True) -> np.ndarray:
+def resized(rgb: np.ndarray, h: int, w: int, whole: bool = True) -> np.ndarray:
     """Bilinear, pixel centres aligned; rounded to bytes unless told otherwise."""
     y = np.clip((np.arange(h) + 0.5) * rgb.shape[0] / h - 0.5, 0, rgb.shape[0] - 1)
     x = np.clip((np.arange(w) + 0.5) * rgb.shape[1] / w - 0.5, 0, rgb.shape[1] - 1)
@@ -209,7 +210,7 @@ def _resized(rgb: np.ndarray, h: int, w: int, whole: bool = True) -> np.ndarray:
 def perturb(rgb: np.ndarray, level: Level) -> np.ndarray | None:
     """The image at a level; null where a codec is missing. Noise is seeded by content and level."""
     p, (h, w) = level.params, rgb.shape[:2]
-    scaled = lambda f: _resized(rgb, max(1, round(h * f)), max(1, round(w * f)))
+    scaled = lambda f: resized(rgb, max(1, round(h * f)), max(1, round(w * f)))
     if level.kind == "clean":
         return rgb
     if level.kind == "jpeg":
@@ -217,7 +218,7 @@ def perturb(rgb: np.ndarray, level: Level) -> np.ndarray | None:
     if level.kind == "resize":
         return scaled(p["scale"])
     if level.kind == "resize_roundtrip":
-        return _resized(scaled(p["scale"]), h, w)
+        return resized(scaled(p["scale"]), h, w)
     if level.kind == "center_crop":
         ch, cw = max(1, round(h * p["fraction"])), max(1, round(w * p["fraction"]))
         return rgb[(h - ch) // 2 : (h - ch) // 2 + ch, (w - cw) // 2 : (w - cw) // 2 + cw]
@@ -318,3 +319,48 @@ def signals_mean(records: DataFrame, members: Sequence[str] = SIGNALS_MEAN) -> D
     mean = F.sum(F.round(F.col("score") * 1_000_000_000).cast("long")) / F.count(F.lit(1)) / 1_000_000_000
     found = own.groupBy("entry_path", "level").agg(mean.alias("score"), F.sum("elapsed_ms").alias("elapsed_ms"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "score"))))).alias("details"))
     return found.select("entry_path", "level", F.lit("signals_mean").alias("tool"), "score", "details", "elapsed_ms")
+
+
+#: What the tools are called where their name, made readable, won't do; groups of the tool tree are the categories.
+TITLES = {"ela": "Error level analysis", "jpeg_ghost": "JPEG ghosts", "copy_move": "Copied regions", "double_jpeg": "Double JPEG coding", "c2pa": "Signed manifests", "sd_watermark": "Generator watermark"}
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """All registered tools by category and name: title, whether they can run here, parameters as JSON, note. A tool with missing weights runs, and abstains."""
+    rows = []
+    for t in _TOOLS.values():
+        members = t.name == "localizer_ensemble"
+        installed = any(_installed(get(n)) for n in ENSEMBLE) if members else _installed(t)
+        told = [{"name": p.name, "kind": p.kind.__name__, "default": p.default, "low": p.low, "high": p.high, "choices": list(p.choices)} for p in t.parameters]
+        title = TITLES.get(t.name) or t.name.replace("_", " ").capitalize()
+        rows.append((t.name, title, t.category, t.category in ("learned", "localizer"), installed, json.dumps(told), t.note))
+    return spark.createDataFrame(rows, "name string, title string, category string, learned boolean, installed boolean, parameters string, note string").orderBy("category", "name")
+
+
+def _installed(tool: Tool) -> bool:
+    return bool(tool.run or tool.frame or tool.load and tool.load())
+
+
+def enriched(records: DataFrame) -> DataFrame:
+    """Records with their tools' titles, categories and notes; unknown tools keep their names."""
+    known = F.broadcast(catalogue(records.sparkSession).select(F.col("name").alias("tool"), "title", "category", "note"))  # a row for each registered tool
+    return records.join(known, "tool", "left").withColumns({"title": F.coalesce("title", "tool"), "category": F.coalesce("category", F.lit("other"))})
+
+
+def pyramid_tiles(maps: DataFrame, tile: int = 256) -> DataFrame:
+    """(entry_path, level, row, column, png) of maps (entry_path, height, width, values binary of 32-bit floats): each level half as large as the last, edge tiles filled with zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "values"):
+                for i in range(part.num_rows):
+                    path, h, w, raw = (part.column(c)[i].as_py() for c in ("entry_path", "height", "width", "values"))
+                    for level, a in enumerate(pixels.pyramid(np.frombuffer(raw, "<f4").reshape(h, w), tile)):
+                        rows = []
+                        for y in range(0, a.shape[0], tile):
+                            for x in range(0, a.shape[1], tile):
+                                rows.append((path, level, y // tile, x // tile, pixels.png(pixels.pad_for_tiles(a[y : y + tile, x : x + tile], tile))))
+                        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["entry_path", "level", "row", "column", "png"])
+
+    return maps.select("entry_path", "height", "width", "values").mapInArrow(run, "entry_path string, level int, row int, column int, png binary")

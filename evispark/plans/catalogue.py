@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,29 +9,18 @@ from ..operators import audit, entries, evidence, fusion, metrics, reports, suit
 from ..sources import adapters as A
 from ..sources import paths
 from ..streaming import sessions
+from .registry import QUERIES, SQL, Query
+from .registry import query as _query
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 DL = ["detector", "level"]
 
 
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def _with(*ctes: str) -> str:
@@ -309,10 +296,10 @@ def merge_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     _with(E)
-    + "SELECT source, coalesce(CAST(ok3 AS VARCHAR), 'unknown') AS commercial_ok FROM (SELECT source, CASE WHEN bool_or(ok = false) THEN false WHEN count(ok) = count(*) THEN true END AS ok3 FROM (SELECT source, CASE WHEN toxic IS NULL THEN NULL ELSE toxic = 0 END AS ok FROM entries WHERE format <> 'EN') GROUP BY source)"
+    + "SELECT source, coalesce(CAST(ok3 AS VARCHAR), 'unknown') AS commercial_ok FROM (SELECT source, CASE WHEN bool_or(ok = false) THEN false WHEN count(ok) = count(*) THEN true END AS ok3 FROM (SELECT source, CASE WHEN toxic IS NULL THEN NULL ELSE toxic = 0 END AS ok FROM entries) GROUP BY source)"
 )
 def licence_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = A.entries(spark, sf_dir).where("format <> 'EN'").withColumn("ok", F.col("toxic") == 0)
+    e = A.entries(spark, sf_dir).withColumn("ok", F.col("toxic") == 0)
     return e.groupBy("source").agg(F.coalesce(entries.commercial_ok("ok").cast("string"), F.lit("unknown")).alias("commercial_ok"))
 
 
@@ -391,7 +378,17 @@ def audit_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.duplicates(A.entries(spark, sf_dir))
 
 
-@_query()
+@_query(
+    _with(E, HISTOGRAMS, SHARES)
+    + """, js AS (SELECT axis, round(sqrt(greatest(0.0, least(1.0, sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)))), 7) AS d FROM shares GROUP BY axis),
+n AS (SELECT count(*) FILTER (label = 'real') AS r, count(*) FILTER (label = 'fake') AS f FROM entries),
+dup AS (SELECT sum(n - 1) AS surplus, count(*) FILTER (labels > 1) AS shared FROM (SELECT count(*) AS n, count(DISTINCT label) AS labels FROM entries WHERE label IS NOT NULL GROUP BY sha256))
+SELECT 'distance' AS problem, axis || '=' || CAST(d AS VARCHAR) AS detail FROM js WHERE d > 0.3 AND axis IN ('format', 'resolution', 'quality')
+UNION ALL (SELECT 'dominance', bucket || '=' || CASE WHEN p >= 0.9 THEN 'real' ELSE 'fake' END FROM shares WHERE axis = 'format' AND (p >= 0.9 AND q <= 0.1 OR q >= 0.9 AND p <= 0.1) ORDER BY bucket LIMIT 1)
+UNION ALL SELECT 'imbalance', CAST(round(greatest(r, f) / least(r, f), 9) AS VARCHAR) FROM n WHERE least(r, f) > 0 AND greatest(r, f) / least(r, f) > 5
+UNION ALL SELECT 'single label', '' FROM n WHERE least(r, f) = 0
+UNION ALL SELECT 'duplicates surplus', CAST(CAST(surplus AS BIGINT) AS VARCHAR) FROM dup WHERE surplus > 0 UNION ALL SELECT 'duplicates shared', CAST(shared AS VARCHAR) FROM dup WHERE shared > 0"""
+)
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.report(A.entries(spark, sf_dir))
 
@@ -633,7 +630,7 @@ def image_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def image_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = tools.run_tools(_images(spark, sf_dir), tools.available("view"), arguments={"bit_planes": {"plane": 3}, "noise_residual": {"window": 5}})
-    return got.select("entry_path", "level", "tool", "score")
+    return got.select("entry_path", "level", "tool", "score", "details")  # a map's mean and shape are in the details
 
 
 @_query()
@@ -641,3 +638,6 @@ def image_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error levels at all levels of the default suite; levels without a codec abstain."""
     got = tools.run_tools(_images(spark, sf_dir), ["ela"], suite.DEFAULT_SUITE)
     return got.groupBy("level").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.sum(F.col("details").contains("unsupported").cast("long")).alias("unsupported"))
+
+
+from . import preparation  # noqa: E402, F401  its queries register themselves

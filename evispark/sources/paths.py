@@ -28,7 +28,7 @@ def glob_regex(pattern: str) -> str:
             c = pattern[i]
             out.append("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c))
             i += 1
-    return "".join([*out, "$"])
+    return "".join([*out, r"\z"])
 
 
 def matches(path: Column, patterns: Sequence[str]) -> Column:

@@ -7,8 +7,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..kernels.signals import estimate_quality, zigzag
 from ..schemas import ENTRY, SCORE
@@ -82,35 +84,62 @@ def probe(data: bytes) -> tuple[int, int, str, int | None]:
     raise ValueError("no known image header")
 
 
+_PROBE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("format", T.StringType()), T.StructField("jpeg_quality", T.IntegerType()), T.StructField("error", T.StringType())])
+
+
+@F.arrow_udf(_PROBE)
+def _probe(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in contents:
+        rows = []
+        for data in batch:
+            try:
+                rows.append((*probe(data.as_py()), None))
+            except (ValueError, IndexError, TypeError, struct.error) as e:
+                rows.append((None, None, None, None, str(e) or "truncated"))
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+        yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], _PROBE.names)
+
+
 def probed(files: DataFrame) -> DataFrame:
-    """Files (path, content) with sha256, width, height, format and jpeg_quality, or an error."""
+    """Files (path, content, ...) with sha256, width, height, format and jpeg_quality, or an error; Python gets the contents alone, the other columns stay where they are."""
+    kept = [c for c in files.columns if c != "content"]
+    return files.select(*kept, F.sha2("content", 256).alias("sha256"), _probe("content").alias("_p")).select(*kept, "sha256", "_p.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for data in batch.column("content").to_pylist():
-                try:
-                    rows.append((*probe(data), None))
-                except (ValueError, IndexError, struct.error) as e:
-                    rows.append((None, None, None, None, str(e) or "truncated"))
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("sha256"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["path", "sha256", "width", "height", "format", "jpeg_quality", "error"])
 
-    return files.select("path", "content", F.sha2("content", 256).alias("sha256")).mapInArrow(run, "path string, sha256 string, width int, height int, format string, jpeg_quality int, error string")
+def qualified(spark: SparkSession, root: str) -> str:
+    """A folder's full name, as file listings have it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+
+
+def _any_case(extension: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
 
 def scan_tree(spark: SparkSession, root: str, source: str, layout: paths.Layout | None = None, extensions: Sequence[str] = IMAGE_EXTENSIONS) -> tuple[DataFrame, DataFrame]:
-    """Entries of a tree and the files that could not be read; files without a label are left out without notice."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), f"^{root.rstrip('/')}/", "")
-    wanted = F.lower(F.element_at(F.split("path", r"\."), F.lit(-1))).isin(*extensions)
-    named = paths.apply_layout(files.withColumn("path", relative).where(wanted), layout or paths.Layout())
-    got = probed(named).join(named.drop("content", "modificationTime", "length"), "path")
+    """Entries of a tree and the files that could not be read; files without a label are left out without notice.
+
+    Only files with these extensions are listed, and those without a label are dropped by path before a byte is read by Python.
+    """
+    base = qualified(spark, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(map(_any_case, extensions))}}}").load(base)
+    files = files.select(F.substring("path", len(base) + 2, 1 << 20).alias("path"), "content")
+    rules = layout or paths.Layout()
+    listing = files.select("path") if rules.masks or rules.mask_template else None
+    got = probed(paths.apply_layout(files, rules, listing))
     out = got.where("error is null").withColumn("source", F.lit(source)).select([f.name for f in ENTRY])
     return out, got.where("error is not null").select("path", "error")
 
 
+def write_lines(path: str, lines: Iterator[str]) -> None:
+    """A text file, in place only when it is whole."""
+    system, place = fs.FileSystem.from_uri(path)
+    with system.open_output_stream(f"{place}.part") as f:
+        for line in lines:
+            f.write(line.encode() + b"\n")
+    system.move(f"{place}.part", place)
+
+
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENTRY).option("mode", "FAILFAST").json(path)
 
