@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_batches, table
+from .common import cached, map_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a worker's caches; a full cache is emptied.
@@ -219,6 +219,9 @@ def codec(path: str) -> TextCodec:
     return TextCodec(path)
 
 
+cached(codec.cache_clear)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every text."""
     path = path or tokenizer_path()
@@ -232,7 +235,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, ids array<int>")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, ids array<int>", warm=True)
 
 
 def decode_documents(ids: DataFrame, path: str | None = None) -> DataFrame:
@@ -248,7 +251,7 @@ def decode_documents(ids: DataFrame, path: str | None = None) -> DataFrame:
 
         return work
 
-    return map_batches(ids.select("doc_id", "ids"), make, "doc_id long, text string", None)
+    return map_batches(ids.select("doc_id", "ids"), make, "doc_id long, text string", None, warm=True)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -272,7 +275,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", warm=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 LOCAL_CHECKPOINT_DIR = "/tmp/evispark-checkpoints"
 #: Bytes of text that a Python worker handles at a time; numpy's temporaries are some dozen times as large.
 SLICE_BYTES = 1 << 19
+ROWS_PER_FILE = 100_000
 
 DOCUMENTS = T.StructType(
     [
@@ -39,9 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or LOCAL_CHECKPOINT_DIR).rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: cuts the lineage, survives lost executors."""
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``rows``, where it is known, is no less than the rows there are: a small table goes into few files, ROWS_PER_FILE to each.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        files = -(-rows // ROWS_PER_FILE)
+        if files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(max(1, files))
     path = f"{shared_dir(spark)}/evispark/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -67,16 +75,36 @@ def give_back() -> None:
         pass
 
 
+_CACHES: list[Callable[[], None]] = []
+
+
+def cached(clear: Callable[[], None]) -> None:
+    """Names a cache that a worker process keeps between tasks, by what empties it."""
+    _CACHES.append(clear)
+
+
+def drop_caches() -> None:
+    """Empties what earlier tasks of this worker have kept for operators of their kind."""
+    for clear in _CACHES:
+        clear()
+
+
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
     schema: T.StructType | str,
     text_col: str | None = "text",
     slice_bytes: int = SLICE_BYTES,
+    warm: bool = False,
 ) -> DataFrame:
-    """mapInArrow in slices of at most ``slice_bytes`` of ``text_col``; ``make`` runs once per task and returns the slice function."""
+    """mapInArrow in slices of at most ``slice_bytes`` of ``text_col``; ``make`` runs once per task and returns the slice function.
+
+    Only a ``warm`` operator finds what its worker has cached before; others drop that first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not warm:
+            drop_caches()
         work = make()
         for batch in batches:
             for part in slices(batch, text_col, slice_bytes):

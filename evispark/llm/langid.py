@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import drop_caches, give_back, materialise, table
 
 UNKNOWN = "und"
 GRAM_BITS = 20
@@ -164,6 +164,7 @@ def counts(training: DataFrame) -> DataFrame:
     """(lang, code, n) of (text, lang) rows: a task adds up its counts, at most 2**GRAM_BITS for each of HELD languages at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         held: dict[str, np.ndarray] = {}
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -190,7 +191,8 @@ def counts(training: DataFrame) -> DataFrame:
 def learn(training: DataFrame, ratio: float = RATIO) -> Filter:
     """The filter of (text, lang) rows. The driver gets at most 2**GRAM_BITS rows for each 64 languages."""
     spark = training.sparkSession
-    each = materialise(counts(training), "gram-counts")
+    languages = training.select("lang").distinct().count()
+    each = materialise(counts(training), "gram-counts", languages << GRAM_BITS)
     totals = sorted(tuple(r) for r in each.groupBy("lang").agg(F.sum("n").alias("total")).collect())  # a row a language
     out = Filter([lang for lang, _ in totals])
     if not totals:
@@ -211,10 +213,12 @@ def predict(docs: DataFrame, learned: Filter, pred: str = "lang_pred", score: st
 
     @F.arrow_udf("lang string, score double")
     def decide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_caches()
         own = Filter.__new__(Filter)
         own.languages, own.words = shared.value
         for texts in batches:
             langs, scores = own.decide(texts.to_pylist())
+            give_back()
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
 
     inner = "_language"

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec, tokenizer_path
-from .common import give_back, materialise, slices, table
+from .common import drop_caches, give_back, materialise, slices, table
 
 ORDER, BACKOFF = 3, 0.4
 #: Ids of a chunk, unless one document has more.
@@ -112,6 +112,7 @@ def unigrams(chunks: DataFrame) -> np.ndarray:
     """Counts by id; the driver gets at most as many rows as the vocabulary has ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         n = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
             for raw in batch.column("ids").to_pylist():
@@ -157,7 +158,7 @@ def ngrams(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
     """The distinct n-grams of the orders from 2 of each chunk and their counts: a row for all those of one order and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec.cache_clear()  # what this worker may have kept of the tokenizer
+        drop_caches()
         for batch in batches:
             for chunk, lengths, ids in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lengths", "ids")), strict=True):
                 _, flat, doc = _chunk(lengths, ids)

@@ -255,11 +255,12 @@ def links_around_centres(compared: DataFrame, roots: DataFrame, percent: int) ->
 def components(edges: DataFrame) -> DataFrame:
     """(cid, root): the least member of each linked class's component."""
     edges = materialise(edges.select("a", "b"), "links")
-    labels = materialise(edges.select(F.col("a").alias("cid")).union(edges.select("b")).distinct().select("cid", F.col("cid").alias("root")), "roots")
+    size = 2 * edges.count()  # more than there are members
+    labels = materialise(edges.select(F.col("a").alias("cid")).union(edges.select("b")).distinct().select("cid", F.col("cid").alias("root")), "roots", size)
     while True:
         left, right = labels.toDF("a", "x"), labels.toDF("b", "y")
         cross = edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        told = materialise(cross.groupBy("y").agg(F.min("x").alias("x")), "hooks")
+        told = materialise(cross.groupBy("y").agg(F.min("x").alias("x")), "hooks", size)
         if told.isEmpty():
             discard(edges, told)
             return labels
@@ -267,7 +268,7 @@ def components(edges: DataFrame) -> DataFrame:
         for _ in range(2):  # pointer jumping
             up = hooks.select(F.col("y").alias("x"), F.col("x").alias("z"))
             hooks = hooks.join(up, "x", "left").select("y", F.coalesce("z", "x").alias("x"))
-        before, labels = labels, materialise(labels.join(hooks.select(F.col("y").alias("root"), "x"), "root", "left").select("cid", F.coalesce("x", "root").alias("root")), "roots")
+        before, labels = labels, materialise(labels.join(hooks.select(F.col("y").alias("root"), "x"), "root", "left").select("cid", F.coalesce("x", "root").alias("root")), "roots", size)
         discard(before, told)
 
 
@@ -290,6 +291,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # a class in fewer lists than a match takes has no partner
     meeting = crowded(classes, COORDINATES).groupBy("cid").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= need).select("cid")
     sets = materialise(full_sets(docs, classes.join(meeting, "cid"), words), "sets")
+    size = sets.count()
 
     def cut():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -301,8 +303,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     alone = map_batches(sets.select("cid", "shingles"), cut, "cid long, shingle long", "shingles").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid")).where("n = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
     linkable = classes.join(sets.select("cid").distinct(), "cid").join(alone, "cid", "left").select("cid", "n", "sig", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    linkable = materialise(linkable.where(F.col("shared") * 100 >= F.col("n") * percent), "linkable")
-    postings = materialise(crowded(linkable, prefix), "postings")
+    linkable = materialise(linkable.where(F.col("shared") * 100 >= F.col("n") * percent), "linkable", size)
+    size = linkable.count()
+    postings = materialise(crowded(linkable, prefix), "postings", size * prefix)
 
     def may_link(n_a, n_b, shared_a, shared_b, sig_a, sig_b):
         """Whether bounds and matches allow the similarity."""
@@ -318,7 +321,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     weight = postings.groupBy("cid").agg(F.sum("n_slot").alias("weight"))
     centre = postings.join(weight, "cid").groupBy("slot").agg(F.max(F.struct("weight", "cid")).cid.alias("a"))
-    stars = materialise(passing(postings.join(centre, "slot").where("a <> cid").select("a", F.col("cid").alias("b"))), "stars")
+    stars = materialise(passing(postings.join(centre, "slot").where("a <> cid").select("a", F.col("cid").alias("b"))), "stars", size * prefix)
     compared = materialise(compare(stars, sets, percent), "compared")
     links = compared.where("similar").select("a", "b")
     roots = components(links)
@@ -352,13 +355,33 @@ def digests(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, of each component the one with the smallest id (of several rows with that id all)."""
-    key = "_k"
-    while key in docs.columns:
-        key += "_"
-    gone = near_duplicates(docs, words, percent).where("k <> root").select(F.col("k").alias(key)).distinct()
-    return docs.withColumn(key, doc_key()).join(gone, key, "left_anti").select(*docs.columns)
+    """The documents, of each component the one row with the smallest id (of several with that id the first by text).
+
+    Where ids repeat or are null, rows are numbered by id and text first, and judged one by one.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    if docs.groupBy(doc_key()).count().where("count > 1").isEmpty():
+        keyed = docs.withColumn(row, doc_key())
+    else:
+        keyed = materialise(docs.orderBy(doc_key(), F.coalesce("text", F.lit(""))).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    gone = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), words, percent).where("k <> root").select(F.col("k").alias(row))
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), 3, 85)
+
+
+#: All pairs that share a shingle, and what each document reaches through links.
+SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM t),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both_ >= 85 * (na.n + nb.n - both_)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id WHERE r.root < u.b),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)"""

@@ -1,8 +1,8 @@
 """First-fit decreasing packing of tokenised documents into fixed sequences.
 
 A document's ids, closed by one end id, are cut into full sequences and a rest.
-Pieces go to randomised groups (a hash of document and start), whose size does not
-depend on the input's. Within a group they are placed from the longest to the
+Pieces go to randomised groups (a hash of document, start and row, so that rows without
+an id, or repeated ones, are spread as well), whose size does not depend on the input's. Within a group they are placed from the longest to the
 shortest into the first sequence with room, found by a tournament tree of the
 sequences' free capacities in O(log n).
 
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
 
         return work
 
-    return map_batches(docs.select("doc_id", "text"), make, PIECE)
+    return map_batches(docs.select("doc_id", "text"), make, PIECE, warm=True)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, gro
         bins, offsets = first_fit_decreasing(frame["length"].tolist(), capacity)
         return frame.assign(sequence_id=frame["pack_group"].to_numpy("int64") * (1 << 32) + np.asarray(bins, "int64"), offset=np.asarray(offsets, "int64")).drop(columns="pack_group")
 
-    dealt = pieces(docs, capacity, path).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    dealt = pieces(docs, capacity, path).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(place, f"{PIECE}, sequence_id long, offset long")
 
 

@@ -456,3 +456,17 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+#: Every string of 100 bytes, as hexadecimal digits, against the first place where it starts.
+SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS i FROM b)),
+f AS (SELECT m, min({'d': doc_id, 'i': i}) AS first_ FROM w GROUP BY m HAVING count(*) > 1),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (m) WHERE first_.d <> doc_id OR first_.i <> i),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, run),
+kept AS (SELECT doc_id, z AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), length(h) // 2) AS z FROM runs JOIN b USING (doc_id) UNION ALL SELECT doc_id, 0, coalesce(min(a), any_value(length(h)) // 2) FROM b LEFT JOIN runs USING (doc_id) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS h FROM kept JOIN b USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT b.doc_id, CAST(length(b.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM b JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)"""

@@ -115,6 +115,15 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert minhash_dedup.digests(empty).count() == minhash_dedup.keep_first(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (1, "something else with words of its own"), (2, base + " end"), (2, "a third text that nobody else has at all"), (None, base), (None, "no id and no copy anywhere to be found"), (3, "unique text of the third document"), (3, "unique text of the third document"), (4, None), (4, "")]
+    kept = minhash_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # the copies of base leave the one without id, which is the smallest; of the repeated row one stays
+    expected = [rows[4], rows[1], rows[3], rows[5], rows[6], rows[8], rows[9]]
+    assert sorted(map(tuple, kept), key=repr) == sorted(expected, key=repr)
+
+
 def test_match_threshold():
     assert 10 <= minhash_dedup.match_threshold(80) <= minhash_dedup.match_threshold(85) <= minhash_dedup.COORDINATES
 
