@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evispark.llm import langid, minhash_dedup, packing, pii, suffix_dedup
-from evispark.llm.common import materialise, table
+from evispark.llm.common import discard, materialise, table
 
 #: Bytes of a repeated string that the third stage removes, as in op6: more than 50 words, blanks between them, never have fewer.
 REPEAT_BYTES = suffix_dedup.MIN_BYTES
@@ -48,5 +48,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)  # a stage reads nothing but its predecessor's table
     return STAGES[-1][1](spark, docs, sf_dir)
