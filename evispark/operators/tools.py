@@ -13,7 +13,7 @@ import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,7 @@ class Tool:
     encoded: bool = False  # the kernel takes the file's bytes as ``raw`` besides the pixels
     frame: Callable[[DataFrame], DataFrame] | None = None  # from (path, content) to (path, score, details)
     load: Callable[[], Kernel | None] | None = None  # once per task: the kernel, or None where its weights are missing
+    plan: Callable[[], Kernel] | None = None  # on the driver, when a run is planned: a kernel made of other tools
     note: str = ""
 
     def arguments(self, given: dict) -> dict:
@@ -79,6 +80,15 @@ class Tool:
         return {p.name: p.coerce(given.get(p.name, p.default)) for p in self.parameters}
 
 
+    def planned(self) -> Tool:
+        """The tool as tasks get it, with all that it needs: their registry has only what the package registers."""
+        return replace(self, run=self.plan(), plan=None) if self.plan else self
+
+    def kernel(self) -> Kernel | None:
+        """What runs, or None where weights are missing."""
+        return self.run or (self.plan() if self.plan else self.load() if self.load else None)
+
+
 _TOOLS: dict[str, Tool] = {}
 
 
@@ -145,7 +155,7 @@ def ensemble(members: Sequence[str], mode: str = "max") -> Kernel:
     def run(rgb: np.ndarray, mode: str = mode) -> dict:
         ran, maps, scores = [], [], {}
         for tool in tools:
-            kernel = tool.run or (tool.load() if tool.load else None)
+            kernel = tool.kernel()
             out = kernel(rgb) if kernel else {"score": ABSTAIN}
             scores[tool.name] = round(out["score"], 6)
             if out.get("map") is not None:
@@ -191,7 +201,7 @@ LEARNED = (
 for _name, _category, _note in LEARNED:
     register(Tool(_name, _category, None, load=_missing, note=_note))
 ENSEMBLE = ("iml_vit", "catnet_v2", "dino_inpaint")
-register(Tool("localizer_ensemble", "localizer", ensemble(ENSEMBLE), (Parameter("mode", str, "max", choices=("max", "mean", "rank_mean")),)))
+register(Tool("localizer_ensemble", "localizer", None, (Parameter("mode", str, "max", choices=("max", "mean", "rank_mean")),), plan=lambda: ensemble(ENSEMBLE)))
 
 
 def resized(rgb: np.ndarray, h: int, w: int, whole: bool = True) -> np.ndarray:
@@ -253,13 +263,11 @@ def run_tools(images: DataFrame, tools: Sequence[str], levels: Sequence[Level] =
     A batch is handled a few megabytes at a time. Whatever a tool or a level does wrong is its record's error alone. Encoded files
     exist at the clean level only; elsewhere tools that need them abstain.
     """
-    wanted = [(t, t.arguments((arguments or {}).get(t.name, {}))) for t in map(get, tools)]
-    framed = [t for t, _ in wanted if t.frame]
-    named = [(t.name, args) for t, args in wanted if not t.frame]
+    wanted = [(t.planned(), t.arguments((arguments or {}).get(t.name, {}))) for t in map(get, tools)]
     has_raw = "raw" in images.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [(get(n), get(n).run or (get(n).load() if get(n).load else None), args) for n, args in named]
+        ready = [(t, t.kernel(), args) for t, args in wanted]
         for batch in batches:
             for part in slices(batch, "rgb"):
                 rows = []
@@ -279,7 +287,11 @@ def run_tools(images: DataFrame, tools: Sequence[str], levels: Sequence[Level] =
                         for tool, kernel, args in ready:
                             began = time.perf_counter()
                             own = raw if level.kind == "clean" else None
-                            if seen is None:
+                            if tool.frame and level.kind == "clean" and has_raw:
+                                continue  # from its own plan
+                            if tool.frame:
+                                score, note = ABSTAIN, {"reason": "no encoded file at hand"}
+                            elif seen is None:
                                 score, note = ABSTAIN, {"error": fault}
                             elif kernel is None:
                                 score, note = ABSTAIN, {"reason": tool.note or "no weights are installed"}
@@ -295,21 +307,11 @@ def run_tools(images: DataFrame, tools: Sequence[str], levels: Sequence[Level] =
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["entry_path", "level", "tool", "score", "details", "elapsed_ms"])
 
     out = images.select("entry_path", "height", "width", "rgb", *(["raw"] if has_raw else [])).mapInArrow(run, RECORD)
-    for tool in framed:
-        out = out.unionByName(_framed(images, tool, levels))
-    return out
-
-
-def _framed(images: DataFrame, tool: Tool, levels: Sequence[Level]) -> DataFrame:
-    """Records of a tool that is a plan of its own: over the encoded files where there are any."""
-    rest = [x.name for x in levels if x.kind != "clean" or "raw" not in images.columns]
-    none = images.select("entry_path", F.explode(F.array(*map(F.lit, rest)) if rest else F.array().cast("array<string>")).alias("level"))
-    out = none.select("entry_path", "level", F.lit(tool.name).alias("tool"), F.lit(ABSTAIN).alias("score"), F.lit('{"reason": "no encoded file at hand"}').alias("details"), F.lit(0.0).alias("elapsed_ms"))
-    clean = [x.name for x in levels if x.name not in rest]
-    if clean:
-        judged_ = tool.frame(images.select(F.col("entry_path").alias("path"), F.col("raw").alias("content")))
-        own = judged_.select(F.col("path").alias("entry_path"), F.explode(F.array(*map(F.lit, clean))).alias("level"), F.lit(tool.name).alias("tool"), "score", "details", F.lit(None).cast("double").alias("elapsed_ms"))
-        out = out.unionByName(own)
+    clean = [x.name for x in levels if x.kind == "clean"]
+    for tool, _ in wanted if has_raw and clean else ():
+        if tool.frame:
+            own = tool.frame(images.select(F.col("entry_path").alias("path"), F.col("raw").alias("content")))
+            out = out.unionByName(own.select(F.col("path").alias("entry_path"), F.explode(F.array(*map(F.lit, clean))).alias("level"), F.lit(tool.name).alias("tool"), "score", "details", F.lit(None).cast("double").alias("elapsed_ms")))
     return out
 
 
@@ -338,7 +340,7 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def _installed(tool: Tool) -> bool:
-    return bool(tool.run or tool.frame or tool.load and tool.load())
+    return bool(tool.frame or tool.kernel())
 
 
 def enriched(records: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ BASE = ", ".join(map(str, (*metadata.LUMINANCE.tolist(), *metadata.CHROMINANCE.t
 t AS (SELECT *, list_transform([{BASE}], lambda b: greatest(1, least(255, (b * scale + 50) // 100)) + CAST(odd AS INTEGER)) AS v FROM p),
 every AS (SELECT q, list_transform([{BASE}], lambda b: greatest(1, least(255, (b * CASE WHEN q < 50 THEN 5000 // q ELSE 200 - 2 * q END + 50) // 100))) AS w FROM range(1, 101) r(q)),
 m AS (SELECT p_partkey, v, 100 * list_avg(v[1:64]) / (SELECT list_avg([{BASE}][1:64])) AS ratio FROM t)
-SELECT p_partkey, CAST(round_even(greatest(1.0, least(100.0, CASE WHEN ratio <= 100 THEN (200 - ratio) / 2 ELSE 5000 / ratio END)), 0) AS INTEGER) AS estimate, (SELECT CAST(max(q) AS INTEGER) FROM every WHERE w = v) AS exact FROM m"""
+SELECT p_partkey, CAST(round_even(greatest(1.0, least(100.0, CASE WHEN ratio <= 100 THEN (200 - ratio) / 2 ELSE 5000 / ratio END)), 0) AS INTEGER) AS estimate, coalesce((SELECT CAST(max(q) AS INTEGER) FROM every WHERE w = v), 0) AS exact FROM m"""
 )
 def jpeg_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as JPEGs of a quality between 1 and 50, every fifth with tables of its own."""
@@ -118,7 +118,7 @@ def jpeg_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = (F.col("p_partkey") % 5 == 0).cast("int")
     p = A.table(spark, sf_dir, "part").select("p_partkey", F.transform(base, lambda b: (F.greatest(F.lit(1), F.least(F.lit(255), F.floor((b * scale + 50) / 100))) + odd).cast("int")).alias("v"))
     x = p.select("p_partkey", F.slice("v", 1, 64).alias("luma_table"), F.slice("v", 65, 64).alias("chroma_table")).withColumns(metadata.quality_columns())
-    return x.select("p_partkey", F.col("jpeg_quality_estimate").alias("estimate"), F.col("jpeg_quality_exact").alias("exact"))
+    return x.select("p_partkey", F.col("jpeg_quality_estimate").alias("estimate"), F.coalesce("jpeg_quality_exact", F.lit(0)).alias("exact"))
 
 
 GRID = crops.CropPolicy(size=300, max_crops=4)
@@ -144,14 +144,14 @@ def _target_sql(mode: str) -> str:
 cut AS (SELECT *, {place} FROM (SELECT *, {tiles} AS tile FROM jobs WHERE job = 'cropped'))
 SELECT replace(path, '.jpg', '') || CASE WHEN tile IS NULL THEN '' ELSE '_t' || lpad(CAST(tile AS VARCHAR), CAST(greatest(2, length(CAST(tile AS VARCHAR))) AS INTEGER), '0') END || '.png' AS path, 400 AS width, 400 AS height, 'PNG' AS format, job, CAST(top AS INTEGER) AS top, CAST(left_ AS INTEGER) AS left_,
   CAST(tile AS VARCHAR) AS tile, path AS source_path, '{mode}' AS crop_mode FROM cut
-UNION ALL SELECT path, width, height, format, job, NULL, NULL, NULL, path, CASE job WHEN 'passthrough' THEN '{mode}' END FROM jobs WHERE job <> 'cropped'"""
+UNION ALL SELECT path, width, height, format, job, -1, -1, NULL, path, CASE job WHEN 'passthrough' THEN '{mode}' END FROM jobs WHERE job <> 'cropped'"""
 
 
 def _targets(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     e = A.entries(spark, sf_dir).where("width is not null").withColumn("label", F.coalesce("label", F.lit("unknown")))
     t = crops.target_rows(e, 400, mode, ["real"], 450)
     at = lambda k: F.element_at("extra", F.lit(k))
-    return t.select("path", "width", "height", "format", "job", "top", F.col("left").alias("left_"), at("tile_index").alias("tile"), "source_path", at("crop_mode").alias("crop_mode"))
+    return t.select("path", "width", "height", "format", "job", F.coalesce("top", F.lit(-1)).alias("top"), F.coalesce("left", F.lit(-1)).alias("left_"), at("tile_index").alias("tile"), "source_path", at("crop_mode").alias("crop_mode"))
 
 
 @query(_target_sql("tiles"))
@@ -185,7 +185,7 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.stats(A.table(spark, sf_dir, "embeddings").select(F.col("label").alias("backbone"), F.col("embedding").alias("features")))
 
 
-@query("SELECT l_orderkey AS image, round(avg(round(1 / (1 + exp(-(l_discount * 100 - 5))), 9)), 6) AS mean_score, round(max(1 / (1 + exp(-(l_discount * 100 - 5)))), 6) AS max_score, count(*) AS crops FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS image, round(round(avg(round(1 / (1 + exp(-(l_discount * 100 - 5))), 9)), 9), 6) AS mean_score, round(round(max(1 / (1 + exp(-(l_discount * 100 - 5)))), 9), 6) AS max_score, count(*) AS crops FROM lineitem GROUP BY l_orderkey")
 def crop_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as crops of their order."""
     t = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_discount") * 100 - 5).alias("logit"))
