@@ -32,8 +32,12 @@ def _extra(pairs: Sequence[str]) -> dict[str, list[str]]:
 
 
 def _analyze(a: argparse.Namespace) -> None:
+    names = a.tools or tools.available("signal")
     with open(a.image, "rb") as f:
-        print(benchmark.analysed(f.read(), a.tools or tools.available("signal")))
+        data = f.read()
+    if a.report:
+        benchmark.image_report(data, names, a.report, a.image.rpartition("/")[2], _fuser(a.model) if a.model else None)
+    print(benchmark.analysed(data, names))
 
 
 def _tools(a: argparse.Namespace) -> None:
@@ -157,7 +161,7 @@ def parser() -> argparse.ArgumentParser:
 
     opt = lambda flag, **k: (flag, k)
     source, out, many = opt("entries"), opt("--out", required=True), {"nargs": "*", "default": []}
-    command("analyze", _analyze, opt("image"), opt("--tools", **many))
+    command("analyze", _analyze, opt("image"), opt("--tools", **many), opt("--report"), opt("--model"))
     command("tools", _tools)
     command("metadata", _metadata, opt("root"))
     command("prepare", _prepare, opt("dataset"), opt("root"), out, opt("--layouts"), opt("--registry"), opt("--strict-audit", action="store_true"))

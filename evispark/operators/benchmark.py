@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..kernels import codecs
+from ..kernels import codecs, localize, metadata, pixels
 from ..schemas import PIXEL
 from ..sources import images, scan
-from . import tools
+from . import rendering, tools
 from .features import first_after_shuffle
+from .fusion import CLIP, Fuser
 from .suite import DEFAULT_SUITE, Level
 
 
@@ -115,13 +119,67 @@ def analysed(data: bytes, names: Sequence[str]) -> str:
         rgb = codecs.pixels(data)
     except codecs.Unreadable as e:
         return json.dumps({"error": str(e)})
-    out = {}
+    return json.dumps(judged_image(rgb, data, names)[0], default=float, sort_keys=True)
+
+
+#: Longest side of the pictures in a report.
+PICTURE = 1600
+
+
+def image_report(data: bytes, names: Sequence[str], out: str, name: str, model: Fuser | None = None) -> dict:
+    """A folder about one image: report.json, report.md, and of each tool's map a picture and an overlay. ``out`` is a path or a URI."""
+    system, base = fs.FileSystem.from_uri(out)
+    system.create_dir(base, recursive=True)
+
+    def put(file: str, content: bytes) -> str:
+        with system.open_output_stream(f"{base}/{file}") as f:
+            f.write(content)
+        return file
+
+    rgb = codecs.turned(codecs.pixels(data), metadata.read(data)["orientation"])
+    found, maps = judged_image(rgb, data, names)
+    step = max(1, -(-max(rgb.shape[:2]) // PICTURE))
+    for n, heat in maps.items():
+        found[n] |= {"heatmap": put(f"{n}_heatmap.png", pixels.png(heat)), "overlay": put(f"{n}_overlay.png", pixels.png_rgb(localize.overlay(rgb[::step, ::step], heat[::step, ::step])))}
+    document = {"image": {"name": name, "width": rgb.shape[1], "height": rgb.shape[0], "format": codecs.kind_of(data), "sha256": hashlib.sha256(rgb.tobytes()).hexdigest()}, "tools": found}
+    if model is not None:
+        document["fusion"] = verdict({n: x["score"] for n, x in found.items()}, model)
+    put("report.json", json.dumps(rendering.jsonable(document), indent=2, sort_keys=True).encode())
+    facts = document["image"]
+    lines = [f"# {name}", "", f"{facts['width']} x {facts['height']} {facts['format']}, pixels {facts['sha256'][:16]}", ""]
+    if model is not None:
+        lines += [f"**{document['fusion']['label']}**, probability {document['fusion']['probability']:.3f}", ""]
+    lines += rendering.table(("tool", "score", "picture"), [(n, rendering.number(x["score"]), f"![{n}]({x['overlay']})" if "overlay" in x else "") for n, x in found.items()])
+    put("report.md", "\n".join(lines).encode())
+    return document
+
+
+def judged_image(rgb: np.ndarray, data: bytes, names: Sequence[str]) -> tuple[dict[str, dict], dict[str, np.ndarray]]:
+    """What kernels say of one image, and their maps."""
+    said, maps = {}, {}
     for n in names:
         tool = tools.get(n)
         kernel = tool.kernel()
         try:
             got = (kernel(rgb, raw=data) if tool.encoded else kernel(rgb)) if kernel else {"score": tools.ABSTAIN, "reason": tool.note or "a plan of its own"}
-            out[n] = {"score": float(got["score"])} | {k: v for k, v in got.items() if isinstance(v, (int, float, str)) and k != "score"}
+            said[n] = {"score": float(got["score"])} | {k: v for k, v in got.items() if isinstance(v, (int, float, str)) and k != "score"}
+            if got.get("map") is not None and got["map"].shape == rgb.shape[:2]:
+                maps[n] = got["map"]
         except Exception as e:  # noqa: BLE001
-            out[n] = {"score": tools.ABSTAIN, "error": str(e) or type(e).__name__}
-    return json.dumps(out, default=float, sort_keys=True)
+            said[n] = {"score": tools.ABSTAIN, "error": str(e) or type(e).__name__}
+    return said, maps
+
+
+def verdict(scores: dict[str, float], model: Fuser) -> dict:
+    """The fused verdict of one image's scores; detectors without one count as abstaining."""
+
+    def log_odds(s: float | None) -> float:
+        p = min(max(s, CLIP), 1 - CLIP) if s is not None else 0.5
+        return 0.0 if s is None or s == 0.5 else math.log(p / (1 - p))
+
+    parts = [(d, model.weights[2 * i] * log_odds(scores.get(d)), model.weights[2 * i + 1] * (d in scores)) for i, d in enumerate(model.detectors)]
+    z = model.bias + sum(a + b for _, a, b in parts)
+    p = 1 / (1 + math.exp(-z / model.temperature))
+    label = "uncertain" if model.low <= p <= model.high else "fake" if p > model.high else "real"
+    moved = [{"detector": d, "score": scores.get(d), "weight": model.weights[2 * model.detectors.index(d)], "contribution": a, "present": d in scores} for d, a, _ in sorted(parts, key=lambda x: -abs(x[1]))]
+    return {"probability": p, "label": label, "band": {"low": model.low, "high": model.high}, "contributions": moved}

@@ -88,6 +88,47 @@ def calibrated(z: Column, bias: float = 0.0, temperature: float = 1.0) -> Column
     return sigmoid((z + bias) / temperature)
 
 
+TEMPERATURES = (0.05, 20.0)
+
+
+def fit_calibration(crops: DataFrame, keys: tuple[str, ...] = ("entry_path",), logit: str = "logit", steps: int = 60) -> tuple[float, float]:
+    """Bias and temperature that minimise the log loss of images' mean probabilities (rows: keys, logit, y), kept only if the calibration error does not rise.
+
+    A pattern search over (bias, log temperature): each round tries a cross of points in one aggregate over images, whose rows are
+    counted by the driver's five numbers only. With one label, or nothing better than no calibration, the answer is (0, 1).
+    """
+    rows = crops.select(*keys, F.col(logit).alias("z"), "y").cache()
+    try:
+        if rows.select("y").distinct().limit(2).count() < 2:
+            return 0.0, 1.0
+
+        def losses(points: list[tuple[float, float]]) -> list[float]:
+            own = rows.groupBy(*keys).agg(F.first("y").alias("y"), *[F.avg(calibrated(F.col("z"), b, math.exp(t))).alias(f"p{i}") for i, (b, t) in enumerate(points)])
+            clip = lambda i: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(f"p{i}")))
+            return list(own.agg(*[F.avg(-(F.col("y") * F.ln(clip(i)) + (1 - F.col("y")) * F.ln(1 - clip(i)))) for i in range(len(points))]).first())
+
+        def error(b: float, t: float) -> float:
+            own = rows.groupBy(*keys).agg(F.first("y").alias("y"), F.avg(calibrated(F.col("z"), b, t)).alias("p"))
+            return M.calibration_error(own, [], "p", y=F.col("y")).first()["ece"]
+
+        low, high = (math.log(x) for x in TEMPERATURES)
+        at, step, least = (0.0, 0.0), 1.0, losses([(0.0, 0.0)])[0]
+        for _ in range(steps):
+            tried = [(at[0] + step, at[1]), (at[0] - step, at[1]), (at[0], min(high, at[1] + step)), (at[0], max(low, at[1] - step))]
+            found = losses(tried)
+            best = min(range(4), key=lambda i: found[i])
+            if found[best] < least - 1e-12:
+                at, least = tried[best], found[best]
+            else:
+                step /= 2
+                if step < 1e-3:
+                    break
+        bias, temperature = at[0], math.exp(at[1])
+        return (bias, temperature) if error(bias, temperature) <= error(0.0, 1.0) else (0.0, 1.0)
+    finally:
+        rows.unpersist()
+
+
 def head_logits(layers: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
     """Logits of a multi-layer head over features (n, layers, values): each layer is normalised and projected, layers are summed by the softmax of
     their weights, and one hidden layer follows. weights: norm_scale and norm_shift (layers, values), project (layers, hidden, values) and project_bias

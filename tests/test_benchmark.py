@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evispark import __main__ as cli
-from evispark.kernels import pixels
-from evispark.operators import benchmark, reports, suite, tools
+from evispark.kernels import codecs, localize, pixels
+from evispark.operators import benchmark, features, fusion, reports, suite, tools
 from evispark.sources import scan
 
 
@@ -87,3 +87,48 @@ def test_commands(spark, tree, tmp_path, capsys, monkeypatch):
     assert "## Robustness" in text and "constant_real" in text
     assert "ela" in json.loads(said("analyze", str(tree / "real" / "0.png"), "--tools", "ela", "metadata"))
     assert '"name": "ela"' in said("tools") and '"label": "uncertain"' in said("metadata", str(tree / "real"))
+
+
+def test_localizer_plumbing():
+    rgb = np.random.default_rng(1).integers(0, 255, (50, 70, 3)).astype(np.uint8)
+    out = localize.tiled(rgb, lambda t: t[..., 0] / 255, 32, 24)
+    assert np.allclose(out["map"], rgb[..., 0] / 255, atol=1e-6)
+    assert localize.tiled(rgb[:10, :10], lambda t: t[..., 0] / 255, 32, 24)["map"].shape == (10, 10)
+    c = np.arange(-32, 32).reshape(1, 1, 8, 8)
+    volume = localize.coefficient_volume(c)
+    assert volume.shape == (21, 8, 8) and (volume.sum(0) == 1).all() and volume[0].sum() == 1 and volume[20].sum() == 13 + 12 and volume[3].sum() == 2
+    flat = localize.painted((10, 12), [(0, 0, 8, 8), (2, 4, 8, 8), (0, 0, 0, 3)], [np.ones((2, 2)), np.full((2, 2), 3.0), np.ones((2, 2))], 8)
+    assert flat[:8, :4].min() == 1 and flat[5, 6] == 1 and flat[9, 0] == 0 and localize.painted((4, 4), [], [np.ones((1, 1))], 4) is None
+    corner = localize.painted((20, 20), [(0, 0, 5, 8)], [np.array([[0.0, 0], [1, 1]])], 8)
+    assert corner[4, 0] == 1 and corner[0, 0] > 0  # what lay before the image is cut away
+    assert localize.mask_loss(np.ones((4, 4)), np.ones((4, 4))) < 1e-5 < localize.mask_loss(np.zeros((4, 4)), np.ones((4, 4)))
+    heat = np.zeros((6, 6))
+    heat[1:5, 1:5] = 1
+    seen = localize.overlay(np.full((6, 6, 3), 100, np.uint8), heat)
+    assert (seen[0, 0] == 100).all() and (seen[1, 1] == 255).all() and tuple(seen[2, 2]) == (193, 40, 40) and tuple(localize.coloured(np.array([0.0, 1.0]))[1]) == (255, 0, 0)
+    with pytest.raises(ValueError):
+        localize.overlay(np.zeros((2, 2, 3)), np.zeros((3, 3)))
+
+
+def test_image_report(tmp_path):
+    rgb = np.random.default_rng(3).integers(0, 255, (48, 64, 3)).astype(np.uint8)
+    model = fusion.Fuser(["ela", "other"], [1.0, 0.5, -1.0, 0.25], 0.1, 2.0, 0.2, 0.4)
+    document = benchmark.image_report(pixels.png_rgb(rgb), ["ela", "random", "iml_vit", "metadata"], str(tmp_path / "r"), "a.png", model)
+    assert json.loads((tmp_path / "r" / "report.json").read_text())["image"] == document["image"] and "a.png" in (tmp_path / "r" / "report.md").read_text()
+    assert codecs.pixels((tmp_path / "r" / "ela_overlay.png").read_bytes()).shape == (48, 64, 3) and not (tmp_path / "r" / "random_heatmap.png").exists()
+    s = document["tools"]["ela"]["score"]
+    z = 0.1 + (np.log(s / (1 - s)) if s != 0.5 else 0) + 0.5
+    assert document["fusion"]["probability"] == pytest.approx(1 / (1 + np.exp(-z / 2))) and [c["present"] for c in sorted(document["fusion"]["contributions"], key=lambda c: c["detector"])] == [True, False]
+
+
+def test_calibration(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        z = rng.normal()
+        y = int(rng.random() < 1 / (1 + np.exp(-z)))
+        rows += [(f"{i}", float(4 * z + 2), y)] * 2  # four times too sure, and shifted
+    df = spark.createDataFrame(rows, "entry_path string, logit double, y int")
+    bias, temperature = features.fit_calibration(df.coalesce(1))
+    assert -3 < bias < -1 and 2.5 < temperature < 6
+    assert features.fit_calibration(df.where("y = 1")) == (0.0, 1.0)

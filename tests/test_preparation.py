@@ -250,3 +250,20 @@ def test_fit_fuser(spark):
     assert got["fused"].auc > 0.97 and got["fused"].n == 300
     with pytest.raises(ValueError, match="both labels"):
         fusion.fit_fuser(records.where("label = 'fake'"), ["good"])
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from evispark.functions import sql
+    from evispark.operators import audit, entries, evidence
+
+    assert "evi_tiles" in sql.register(spark)
+    rows = [(s, w, h, q, f, f"p{i}") for i, (s, w, h, q, f) in enumerate([(0.1, 300, 900, 5, "JPEG"), (0.5, 2048, 2050, None, " png "), (0.99999, 700, 0, 100, ""), (None, 1000, 700, 41, None), (0.35, 90, 200, 200, "Heic"), (0.65, 1330, 1000, 10, "tiff")])]
+    df = spark.createDataFrame(rows, "score double, width int, height int, jpeg_quality int, format string, entry_path string")
+    df.createOrReplaceTempView("files")
+    got = spark.sql("SELECT entry_path, evi_label(score) a, evi_logit(score) b, evi_group(format) c, evi_resolution(width, height) d, evi_quality(jpeg_quality) e, evi_aspect(width, height) f, evi_held_out(entry_path, 3) g, evi_extension(format) h FROM files")
+    own = df.select(
+        "entry_path", evidence.label_from_score(F.col("score")), fusion.logit(F.col("score")), entries.known("format"), audit.resolution_bucket(), audit.quality_bucket(), audit.aspect_bucket(), fusion.held_out(3), paths.extension(F.col("format")),
+    )
+    assert [tuple(r) for r in got.orderBy("entry_path").collect()] == [tuple(r) for r in own.orderBy("entry_path").collect()]
+    tiles = spark.sql("SELECT entry_path, tile, top, left FROM files, LATERAL evi_tiles(height, width, 300) WHERE entry_path = 'p3'").collect()
+    assert [(r.tile, r.top, r.left) for r in tiles] == [(0, 0, 0), (1, 0, 300), (2, 0, 600), (3, 300, 0), (4, 300, 300), (5, 300, 600)]
