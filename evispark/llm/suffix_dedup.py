@@ -19,6 +19,8 @@ move the corpus a hundredfold, so suffixes are sampled by content, without loss:
    is carried over to the next block.
 4. A block is sorted by multikey quicksort, eight bytes at a time, refining ties only.
    Each window is held, byte by byte, against the first equal one of its gram.
+5. A gram with more than CROWD contexts would be one long block. Its contexts' windows
+   are dealt by their digests instead, and each is held against the first equal one.
 
 Edge cases: a null text is empty; texts shorter than min_bytes stay; documents with
 the same id, repeated rows included, count as separate documents in the order of
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_key, map_batches, materialise, table
@@ -44,6 +46,8 @@ GRAM = 32
 CHUNK = 1 << 19
 #: Rows of contexts sorted at a time, unless one gram has more.
 BLOCK = 20_000
+#: Contexts of a gram from which on its windows are dealt one by one.
+CROWD = 200_000
 #: Bytes of text whose equal contexts meet before the shuffle; they are hashed CHUNK at a time.
 SLICE = 4 << 20
 _NULL_KEY = -(1 << 63)
@@ -162,14 +166,20 @@ def repeats_in_block(context: np.ndarray, before: np.ndarray, after: np.ndarray,
     rows, group = rows[counts[group] > 1], group[counts[group] > 1]
     if len(rows):
         part, b, a = context[rows], before[rows], after[rows]
-        total = np.zeros((len(rows), part.shape[1] + 1), np.uint64)
-        np.cumsum(_BYTE[part] * _UP[: part.shape[1]], axis=1, out=total[:, 1:])
+        columns = np.ascontiguousarray(part.T)
+        term = lambda j: _BYTE[columns[j]] * _UP[j]
+        window = np.zeros(len(rows), np.uint64)  # the hash of the window that begins d bytes before the suffix, moved on byte by byte
+        for j in range(reach, reach + min_bytes):
+            window += term(j)
+        spread = group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for d in range(reach + 1):
+            left = reach - d
+            if d:
+                window += term(left) - term(left + min_bytes)
             ok = np.flatnonzero((b >= d) & (a >= min_bytes - d))
             if len(ok) < 2:
                 continue
-            left = reach - d
-            key = (total[ok, left + min_bytes] - total[ok, left]) ^ (group[ok].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            key = window[ok] ^ spread[ok]
             sort = np.argsort(key, kind="stable")
             ks = key[sort]
             new = np.ones(len(ok), bool)
@@ -187,11 +197,11 @@ def repeats_in_block(context: np.ndarray, before: np.ndarray, after: np.ndarray,
 
 
 def _numbered(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(k, rk, text): rk tells documents of the same id apart."""
+    """(k, rk, text): rk tells documents of the same id apart, in the order of their texts. Rows that share an id are sorted with all others, by ranges, so no task gets them all."""
     out = docs.select(doc_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"), *extra)
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return out.withColumn("rk", F.row_number().over(Window.partitionBy("k").orderBy("text", *extra)) - 1)
-    return out.withColumn("rk", F.lit(0))
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out.withColumn("rk", F.lit(0).cast("long"))
+    return materialise(out.orderBy("k", "text", *extra).withColumn("rk", F.monotonically_increasing_id()), "numbered")
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -219,16 +229,29 @@ def context_hashes(raw: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.n
     return out * np.uint64(0x94D049BB133111EB)
 
 
-def _sorted_out(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
-    """From suffixes sorted by (gram, context, k, rk, place): whole repeats (kind 0), and one border suffix for each context of grams that have several (kind 1)."""
+_TOLD = ["gram", "k", "rk", "place", "kind"]
+
+
+def _sorted_out(batches: Iterator[pa.RecordBatch], min_bytes: int, crowd: int) -> Iterator[pa.RecordBatch]:
+    """From suffixes sorted by (gram, context, k, rk, place): whole repeats (kind 0), one border suffix for each context of grams that have several (kind 1), and the grams with more than ``crowd`` of them (kind 2)."""
     before = None  # the last row's gram and context
     leader, told = None, False  # the first row of its gram, and whether it went out
+    count = 0  # border suffixes of the last gram so far
+
+    def out(gram: np.ndarray, k: np.ndarray, rk: np.ndarray, place: np.ndarray, kind: int | np.ndarray) -> pa.RecordBatch:
+        kinds = kind if isinstance(kind, np.ndarray) else np.full(len(gram), kind, np.int32)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (gram, k, rk, place)), pa.array(kinds, pa.int32())], _TOLD)
+
+    def crowded(grams: np.ndarray) -> pa.RecordBatch:
+        none = np.zeros(len(grams), np.int64)
+        return out(grams, none, none, none, 2)
+
     for batch in batches:
         known = batch.column("known").to_numpy(zero_copy_only=False)
+        gram, context, k, rk, place = (batch.column(c).to_numpy() for c in ("gram", "context", "k", "rk", "place"))
         if known.any():
-            rows = pa.array(np.flatnonzero(known))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("k", "rk", "place")), pa.array(np.zeros(len(rows), np.int32))], ["k", "rk", "place", "kind"])
-        gram, context, k, rk, place = (batch.column(c).to_numpy()[~known] for c in ("gram", "context", "k", "rk", "place"))
+            yield out(gram[known], k[known], rk[known], place[known], 0)
+            gram, context, k, rk, place = (x[~known] for x in (gram, context, k, rk, place))
         n = len(gram)
         if not n:
             continue
@@ -238,21 +261,43 @@ def _sorted_out(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[p
         if before is not None:
             new_gram[0] = gram[0] != before[0]
             new_context[0] = new_gram[0] or context[0] != before[1]
+            if new_gram[0] and count > crowd:
+                yield crowded(np.array([before[0]]))
         whole = ~new_context & ((place >> 10 & 1023) + (place & 1023) >= min_bytes)
         border = new_context & ~new_gram
         lead = np.maximum.accumulate(np.where(new_gram, np.arange(n), -1))  # -1: an earlier batch's
-        needed = np.unique(lead[border])
+        needed = np.unique(lead[border], return_counts=True)[0]
         if len(needed) and needed[0] < 0:
             needed = needed[1:]
             if not told:
-                yield pa.RecordBatch.from_pydict({"k": pa.array([leader[0]], pa.int64()), "rk": pa.array([leader[1]], pa.int32()), "place": pa.array([leader[2]], pa.int64()), "kind": pa.array([1], pa.int32())})
+                yield out(gram[:1], *(np.array([x]) for x in leader), 1)
                 told = True
         rows = np.concatenate([np.flatnonzero(whole), np.flatnonzero(border), needed])
         kind = np.concatenate([np.zeros(whole.sum(), np.int32), np.ones(len(rows) - whole.sum(), np.int32)])
-        yield pa.RecordBatch.from_arrays([pa.array(k[rows]), pa.array(rk[rows]), pa.array(place[rows]), pa.array(kind)], ["k", "rk", "place", "kind"])
+        yield out(gram[rows], k[rows], rk[rows], place[rows], kind)
+        part = np.cumsum(new_gram) - int(new_gram[0])
+        each = np.bincount(part[border], minlength=part[-1] + 1)
+        each[0] += 0 if new_gram[0] else count
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        if (many := each[:-1] > crowd).any():
+            yield crowded(gram[first[:-1][many]])
+        count = int(each[-1])
         before = (gram[-1], context[-1])
         if lead[-1] >= 0:
             leader, told = (int(k[lead[-1]]), int(rk[lead[-1]]), int(place[lead[-1]])), bool(len(needed)) and needed[-1] == lead[-1]
+    if count > crowd:
+        yield crowded(np.array([before[0]]))
+
+
+def _window_repeats(contexts: DataFrame, reach: int, min_bytes: int) -> DataFrame:
+    """(k, rk, start, end): repeats among the contexts of crowded grams. Each window of a context is dealt by its digest, so no task meets all contexts of a gram."""
+    low, high = F.greatest(F.lit(0), F.lit(min_bytes) - F.col("after")), F.least(F.col("before"), F.lit(reach))
+    each = contexts.where(low <= high).select("k", "rk", "at", "context", F.explode(F.sequence(low, high)).alias("d"))
+    each = each.select("k", "rk", "at", "d", F.md5(F.col("context").substr(F.lit(reach + 1) - F.col("d"), F.lit(min_bytes))).alias("m"))
+    place = F.struct("k", "rk", "at")
+    first = each.groupBy("d", "m").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "m", "first")
+    again = each.join(first, ["d", "m"]).where(place != F.col("first"))
+    return again.select("k", "rk", (F.col("at") - F.col("d")).alias("start"), (F.col("at") - F.col("d") + min_bytes).alias("end"))
 
 
 def spans(numbered: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
@@ -288,15 +333,14 @@ def spans(numbered: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) ->
 
         return work
 
-    found = map_batches(numbered.select("k", "rk", "text"), sampled, "gram long, context long, k long, rk int, place long, known boolean", slice_bytes=SLICE)
+    found = map_batches(numbered.select("k", "rk", "text"), sampled, "gram long, context long, k long, rk long, place long, known boolean", slice_bytes=SLICE)
     # a known repeat goes anywhere
     dealt_by = F.when(F.col("known"), F.xxhash64("k", "place")).otherwise(F.col("gram"))
     streamed = found.repartition(parts, dealt_by).sortWithinPartitions("gram", "context", "k", "rk", "place")
-    told = materialise(streamed.mapInArrow(lambda batches: _sorted_out(batches, min_bytes), "k long, rk int, place long, kind int"), "repeats")
+    crowd = CROWD
+    told = materialise(streamed.mapInArrow(lambda batches: _sorted_out(batches, min_bytes, crowd), "gram long, k long, rk long, place long, kind int"), "repeats")
     at = F.shiftright("place", 20)
     whole = told.where("kind = 0").select("k", "rk", (at - F.shiftright("place", 10).bitwiseAND(1023)).cast("int").alias("start"), (at + F.col("place").bitwiseAND(1023)).cast("int").alias("end"))
-    places = told.where("kind = 1").groupBy("k", "rk").agg(F.collect_list(at.cast("int")).alias("places"))
-
     def cut():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             raw, offsets = _bytes_of(batch.column("text"))
@@ -323,8 +367,13 @@ def spans(numbered: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) ->
 
         return work
 
-    kind = "context binary, k long, rk int, at int, before int, after int"
-    contexts = map_batches(numbered.select("k", "rk", "text").join(places, ["k", "rk"]), cut, kind)
+    def contexts_of(suffixes: DataFrame) -> DataFrame:
+        places = suffixes.groupBy("k", "rk").agg(F.collect_list(at.cast("int")).alias("places"))
+        return map_batches(numbered.select("k", "rk", "text").join(places, ["k", "rk"]), cut, "context binary, k long, rk long, at int, before int, after int")
+
+    border, crowded = told.where("kind = 1"), told.where("kind = 2").select("gram").distinct()
+    some = not crowded.isEmpty()
+    contexts = contexts_of(border.join(crowded, "gram", "left_anti") if some else border)
     lead = F.substring("context", reach + 1, gram)
     dealt = contexts.repartitionByRange(parts, lead).sortWithinPartitions(lead, "k", "rk", "at")
 
@@ -370,7 +419,9 @@ def spans(numbered: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM) ->
         if held and (out := solve(held)) is not None:
             yield out
 
-    repeated = dealt.mapInArrow(scan, "k long, rk int, start int, end int")
+    repeated = dealt.mapInArrow(scan, "k long, rk long, start int, end int")
+    if some:
+        repeated = repeated.unionByName(_window_repeats(contexts_of(border.join(crowded, "gram", "left_semi")), reach, min_bytes))
     return whole.unionByName(repeated).groupBy("k", "rk").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
@@ -460,7 +511,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Every string of 100 bytes, as hexadecimal digits, against the first place where it starts.
 SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS i FROM b)),
+p AS (SELECT doc_id, j, substr(h, 1024 * j + 1, 1222) AS part FROM (SELECT doc_id, h, unnest(range(0, greatest(0, (length(h) // 2 + 412) // 512))) AS j FROM b)),
+w AS (SELECT doc_id, 512 * j + o AS i, md5_number(substr(part, 2 * o + 1, 200)) AS m FROM (SELECT doc_id, j, part, unnest(range(0, greatest(0, length(part) // 2 - 99))) AS o FROM p)),
 f AS (SELECT m, min({'d': doc_id, 'i': i}) AS first_ FROM w GROUP BY m HAVING count(*) > 1),
 r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (m) WHERE first_.d <> doc_id OR first_.i <> i),
 g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),

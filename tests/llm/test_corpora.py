@@ -38,6 +38,18 @@ def test_repeats(spark):
     assert got == brute_repeats(rows)
 
 
+def test_crowded_grams_equal_the_plain_ones(spark, monkeypatch):
+    rng = random.Random(15)
+    line = "".join(rng.choices("abcdefgh ", k=70))
+    rows = [(i, "".join(rng.choices("xy", k=rng.randint(0, 60))) + line + "".join(rng.choices("xy", k=rng.randint(0, 60)))) for i in range(250)]
+    rows += [(i, "".join(rng.choices("xyz", k=80)) + rows[i % 40][1]) for i in range(300, 400)] + [(None, rows[7][1]), (None, line * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_repeats(rows)
+    for crowd in (2, 30, 1000):
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        assert sorted((tuple(r) for r in suffix_dedup.digests(df).collect()), key=repr) == expected, crowd
+
+
 def test_repeats_of_odd_rows(odd, empty):
     got = sorted((tuple(r) for r in suffix_dedup.digests(odd).collect()), key=repr)
     assert got == brute_repeats([(r.doc_id, r.text) for r in odd.collect()])

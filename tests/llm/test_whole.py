@@ -65,6 +65,19 @@ def test_urls_of_a_whole_table(spark):
     assert len(got) == spark.read.parquet(f"{DATA}/pages.parquet").count() and {r.verdict for r in got} <= {"allow", "block"}
 
 
+@needs_tables
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_equals_sql(spark, name):
+    import duckdb
+
+    small = DATA.replace("0.01", "0.001")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    got = registry.queries()[name](spark, small)
+    expected = con.execute(registry.oracle_sql()[name]).df()[got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(expected.itertuples(index=False, name=None))
+
+
 LONG = 20 << 20
 
 
