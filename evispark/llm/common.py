@@ -16,6 +16,8 @@ LOCAL_CHECKPOINT_DIR = "/tmp/evispark-checkpoints"
 #: Bytes of text that a Python worker handles at a time; numpy's temporaries are some dozen times as large.
 SLICE_BYTES = 1 << 19
 ROWS_PER_FILE = 100_000
+#: Rows that go to Python at a time where the session doesn't say: texts are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS, _BATCH_ROWS_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 DOCUMENTS = T.StructType(
     [
@@ -89,6 +91,12 @@ def drop_caches() -> None:
         clear()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batch size, unless it has one."""
+    if spark.conf.get(_BATCH_ROWS_KEY, None) is None:
+        spark.conf.set(_BATCH_ROWS_KEY, str(BATCH_ROWS))
+
+
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
@@ -113,6 +121,7 @@ def map_batches(
                     yield out
         give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

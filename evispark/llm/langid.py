@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_caches, give_back, materialise, table
+from .common import drop_caches, give_back, materialise, small_batches, table
 
 UNKNOWN = "und"
 GRAM_BITS = 20
@@ -185,6 +185,7 @@ def counts(training: DataFrame) -> DataFrame:
                     held[lang] += np.bincount(codes, minlength=1 << GRAM_BITS)
         yield from told()
 
+    small_batches(training.sparkSession)
     return training.select("text", "lang").mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -221,6 +222,7 @@ def predict(docs: DataFrame, learned: Filter, pred: str = "lang_pred", score: st
             give_back()
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
 
+    small_batches(docs.sparkSession)
     inner = "_language"
     while inner in docs.columns:
         inner += "_"

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import codec, tokenizer_path
-from .common import drop_caches, give_back, materialise, slices, table
+from .common import drop_caches, give_back, materialise, slices, small_batches, table
 
 ORDER, BACKOFF = 3, 0.4
 #: Ids of a chunk, unless one document has more.
@@ -104,6 +104,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield told()
         give_back()
 
+    small_batches(docs.sparkSession)
     found = docs.select("doc_id", "text").mapInArrow(run, "doc_ids array<long>, lengths binary, ids binary")
     return materialise(found.select(F.monotonically_increasing_id().alias("chunk"), "doc_ids", "lengths", "ids"), "ids")
 
