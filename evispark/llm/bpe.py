@@ -30,7 +30,7 @@ from .common import cached, map_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a worker's caches; a full cache is emptied.
-CACHE = 300_000
+CACHE = 600_000
 #: Added to the code point of a word's last byte symbol, to tell word ends apart.
 END = 0x10000
 
