@@ -11,12 +11,17 @@
 3. A shingle that one class alone has bounds all its similarities: a class with too
    few shared shingles has no links, and of two classes the bound is known at once.
 4. In each list all classes are held against one centre, the class of the most
-   crowded lists, and confirmed on full sets; links give components. Two classes that
-   met the same centre are similar exactly if their differences from it have enough
-   in common, and those with a link left meet in the rarest elements of these
-   differences. What is left are pairs in a list one of which did not pass the match
-   threshold with the centre; they are matched and confirmed one by one. No pair
-   within a component is ever made, and no other pair is lost.
+   crowded lists (of several the one that shares most of its set), and confirmed on
+   full sets; links give components. Lists that still have several take two further
+   centres, the class that shares most of its set and the one of the most crowded lists
+   outside the components of their centres, for at most ROUNDS rounds and while these
+   find links: a group whose first centre lies at its edge comes together here, at two
+   comparisons for each member and round, before pairs are sought.
+   Two classes that met the same first centre are similar exactly if their differences
+   from it have enough in common, and those with a link left meet in the rarest
+   elements of these differences. What is left are pairs in a list one of which did
+   not pass the match threshold with that centre; they are matched and confirmed one
+   by one. No pair within a component is ever made, and no other pair is lost.
 5. Components come from contraction: every root hooks to its least neighbour until
    no link joins two roots. Each round is written to the shared folder.
 
@@ -47,6 +52,8 @@ MISS = 1e-8
 FAN = 256
 #: Bands of classes around a centre by how far they are from it.
 BANDS = 16
+#: Further centres of a list, at most; what they leave apart is searched pair by pair.
+ROUNDS = 4
 _NULL_KEY = -(1 << 63)
 
 _RNG = np.random.default_rng(5)
@@ -214,7 +221,7 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links_around_centres(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): similar pairs of classes that were held against the same centre, at least one of which is not similar to it.
+    """(a, b): components that similar classes link which were held against the same centre, at least one of which is not similar to it.
 
     With m missing and r more shingles than the centre's n, let g = percent r + 100 m. Two such classes are similar if and only if their
     differences have k = (g + g' - (100 - percent) n) / (100 + percent) elements in common. So they meet in the rarest elements of both,
@@ -245,11 +252,11 @@ def links_around_centres(compared: DataFrame, roots: DataFrame, percent: int) ->
     far = posted(ranked.where("not similar"), F.sequence(F.lit(0), F.lit(BANDS - 1)), low, {"b": "x", "root": "root_x", "g": "g_x", "room": "room", "band": "far", "partner": "near"})
     near = posted(ranked, F.sequence("least_far", F.lit(BANDS - 1)), F.greatest(low, F.col("room") + 1), {"b": "y", "root": "root_y", "g": "g_y", "band": "near", "partner": "far"})
     enough = scale * F.least("left_x", "left_y") >= F.col("g_x") + F.col("g_y") - F.col("room")
-    met = far.join(near, ["a", "e", "far", "near"]).where((F.col("x") != F.col("y")) & (F.col("root_x") != F.col("root_y")) & enough).select("a", "x", "y", "g_x", "g_y", "room").distinct()
+    met = far.join(near, ["a", "e", "far", "near"]).where((F.col("x") != F.col("y")) & (F.col("root_x") != F.col("root_y")) & enough).select("a", "x", "y", "root_x", "root_y", "g_x", "g_y", "room").distinct()
     diffs = own.select("a", "b", "diff")
     both = met.join(diffs.toDF("a", "x", "diff_x"), ["a", "x"]).join(diffs.toDF("a", "y", "diff_y"), ["a", "y"])
     common = F.size(F.array_intersect("diff_x", "diff_y"))
-    return both.where(scale * common >= F.col("g_x") + F.col("g_y") - F.col("room")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return both.where(scale * common >= F.col("g_x") + F.col("g_y") - F.col("room")).select(F.least("root_x", "root_y").alias("a"), F.greatest("root_x", "root_y").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -319,17 +326,44 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         fits = may_link(*(F.col(f"{c}_{s}") for c in ("n", "shared", "sig") for s in "ab"))
         return pairs.distinct().join(one, "a").join(two, "b").where(fits).select("a", "b")
 
-    weight = postings.groupBy("cid").agg(F.sum("n_slot").alias("weight"))
-    centre = postings.join(weight, "cid").groupBy("slot").agg(F.max(F.struct("weight", "cid")).cid.alias("a"))
-    stars = materialise(passing(postings.join(centre, "slot").where("a <> cid").select("a", F.col("cid").alias("b"))), "stars", size * prefix)
-    compared = materialise(compare(stars, sets, percent), "compared")
-    links = compared.where("similar").select("a", "b")
-    roots = components(links)
+    def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The lists (slot, cid, weight, share, root) that have several components."""
+        placed = rows.join(roots, "cid", "left").select("slot", "cid", "weight", "share", F.coalesce("root", "cid").alias("root"))
+        mixed = placed.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("slot")
+        return placed.join(mixed, "slot")
+
+    def joined(roots: DataFrame) -> DataFrame:
+        """Links (a, b) that give these components, one for each class."""
+        return roots.where("cid <> root").select(F.col("root").alias("a"), F.col("cid").alias("b"))
 
-    # lists that still have several components: pairs of classes that were not both held against the list's centre
-    placed = postings.join(roots, "cid", "left").select("slot", "cid", F.coalesce("root", "cid").alias("root"))
-    mixed = placed.groupBy("slot").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("slot")
-    held = placed.join(mixed, "slot").join(centre, "slot").join(stars.select("a", F.col("b").alias("cid"), F.lit(True).alias("met")), ["a", "cid"], "left")
+    weight = postings.groupBy("cid").agg(F.sum("n_slot").alias("weight")).join(linkable.select("cid", (F.col("shared") / F.col("n")).alias("share")), "cid")
+    ranked = materialise(postings.join(weight, "cid").select("slot", "cid", "weight", "share"), "ranked", size * prefix)
+    centre = ranked.groupBy("slot").agg(F.max(F.struct("weight", "share", "cid")).cid.alias("a"))
+    stars = materialise(passing(ranked.join(centre, "slot").where("a <> cid").select("a", F.col("cid").alias("b"))), "stars", size * prefix)
+    compared = materialise(compare(stars, sets, percent), "compared")
+    roots = components(compared.where("similar").select("a", "b"))
+
+    lists, centres = materialise(apart(ranked, roots), "apart", size * prefix), centre
+    for _ in range(ROUNDS):
+        reached = centres.join(roots.toDF("a", "root"), "a", "left").select("slot", F.coalesce("root", "a").alias("root")).distinct()
+        free = lists.join(centres.toDF("slot", "cid"), ["slot", "cid"], "left_anti").join(reached.withColumn("reached", F.lit(True)), ["slot", "root"], "left")
+        top = free.groupBy("slot").agg(
+            F.max(F.struct("share", "weight", "cid", "root")).alias("inner"), F.max(F.when(F.col("reached").isNull(), F.struct("weight", "share", "cid", "root"))).alias("outer")
+        )
+        both = F.array_distinct(F.array(*[F.struct(F.col(f"{c}.cid").alias("a"), F.col(f"{c}.root").alias("root_a")) for c in ("inner", "outer")]))
+        further = materialise(top.select("slot", F.inline(both)).where("a is not null"), "centres", 2 * size * prefix)
+        held = lists.join(further, "slot").where("root <> root_a").select("a", F.col("cid").alias("b"))
+        held = materialise(passing(held), "further", 2 * size * prefix)
+        found = materialise(compare(held, sets, percent).where("similar").select("a", "b"), "found", 2 * size * prefix)
+        if found.isEmpty():
+            break
+        centres = centres.unionByName(further.select("slot", "a"))
+        roots = components(joined(roots).unionByName(found))
+        before, lists = lists, materialise(apart(lists.drop("root"), roots), "apart", size * prefix)
+        discard(before, held, found)
+
+    # pairs of classes that were not both held against the list's first centre
+    held = lists.select("slot", "cid", "root").join(centre, "slot").join(stars.select("a", F.col("b").alias("cid"), F.lit(True).alias("met")), ["a", "cid"], "left")
     held = held.withColumn("met", F.coalesce("met", F.col("a") == F.col("cid"))).join(linkable.select("cid", "n", "shared", "sig"), "cid")
     held = materialise(held.select("slot", "cid", "root", "met", "n", "shared", "sig"), "held")
     out = held.where("not met").select("slot", *[F.col(c).alias(f"{c}_x") for c in ("cid", "root", "n", "shared", "sig")])
@@ -337,7 +371,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rest = out.join(held, "slot").where(once & (F.col("root") != F.col("root_x")) & may_link(F.col("n"), F.col("n_x"), F.col("shared"), F.col("shared_x"), F.col("sig"), F.col("sig_x")))
     rest = materialise(rest.select(F.least("cid_x", "cid").alias("a"), F.greatest("cid_x", "cid").alias("b")).distinct(), "rest")
     more = compare(rest, sets, percent).where("similar").select("a", "b")
-    roots = components(links.unionByName(links_around_centres(compared, roots, percent)).unionByName(more))
+    roots = components(joined(roots).unionByName(links_around_centres(compared, roots, percent)).unionByName(more))
 
     named = classes.join(roots, "cid", "left").select("n", "one", "two", "k", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("k").alias("least"))

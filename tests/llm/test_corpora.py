@@ -119,6 +119,39 @@ def test_near_duplicates(spark, words, percent):
     assert got == brute_components(rows, words, percent)
 
 
+def test_a_group_around_an_outer_centre_takes_few_links(spark, monkeypatch):
+    """The classes of the most crowded lists lie far apart; each is similar to all others of the group."""
+    rng = random.Random(16)
+    base, rows = [f"b{i}" for i in range(200)], []
+
+    def signature(text):
+        sets, _ = minhash_dedup.shingle_sets([text.encode()], 3)
+        return [int((sets * o + a).min() >> 32) for o, a in zip(minhash_dedup._ODD, minhash_dedup._ADD, strict=True)]
+
+    first = signature(" ".join(base))
+    for edits, same, count in ((3, True, 40), (2, False, 40)):
+        while count:
+            t = list(base)
+            for at in rng.sample(range(5, 195, 5), edits):
+                t[at] = f"e{rng.random()}"
+            text = " ".join(t)
+            if (signature(text) == first) == same:
+                rows.append((len(rows), text))
+                count -= 1
+    made = collections.Counter()
+    plain = minhash_dedup.materialise
+
+    def counted(df, label, *args):
+        out = plain(df, label, *args)
+        made[label] = max(made[label], out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "materialise", counted)
+    got = sorted((tuple(r) for r in minhash_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()), key=repr)
+    assert got == brute_components(rows, 3, 85) and {r[2] for r in got} == {0}
+    assert made["links"] < 2 * len(rows) and made["rest"] < 2 * len(rows), made
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = {r.doc_id: r for r in minhash_dedup.digests(odd).collect() if r.doc_id is not None}
     assert rows[7].component_id == 6 and not rows[7].kept and rows[6].kept and rows[1].n_shingles == rows[3].n_shingles == 0 and rows[4].n_shingles == 1
