@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels.signals import CHROMINANCE, LUMINANCE
+from ..kernels.signals import CHROMINANCE, LUMINANCE, quant_table
 from .evidence import EDITORS, ai_terms, editor_terms
 
 CAPTIONS = 1028
@@ -72,14 +72,10 @@ def quality_columns(luma: str = "luma_table", chroma: str = "chroma_table") -> d
     mean = F.aggregate(F.col(luma), F.lit(0.0), lambda a, x: a + x) / F.size(luma)
     ratio = 100 * mean / float(LUMINANCE.mean())
     estimate = F.greatest(F.lit(1.0), F.least(F.lit(100.0), F.when(ratio <= 100, (200 - ratio) / 2).otherwise(5000 / ratio)))
-    base = F.array(*[F.lit(int(x)) for x in (*LUMINANCE, *CHROMINANCE)])
-
-    def standard(q: Column) -> Column:
-        scale = F.when(q < 50, F.floor(F.lit(5000) / q)).otherwise(200 - 2 * q)
-        return F.transform(base, lambda b: F.greatest(F.lit(1), F.least(F.lit(255), F.floor((b * scale + 50) / 100))).cast("int"))
-
-    both = F.concat(F.col(luma), F.col(chroma))
-    exact = F.get(F.filter(F.sequence(F.lit(100), F.lit(1), F.lit(-1)), lambda q: standard(q) == both), F.lit(0))
+    # the standard's tables as text, looked up by the file's, which are put together once for each row
+    text = lambda q: ",".join(str(x) for base in (LUMINANCE, CHROMINANCE) for x in quant_table(base, q))
+    standard = F.create_map(*[F.lit(x) for table, q in {text(q): q for q in range(1, 101)}.items() for x in (table, q)])
+    exact = F.element_at(standard, F.array_join(F.concat(F.col(luma), F.col(chroma)).cast("array<string>"), ",", "null"))
     return {
         "jpeg_quality_estimate": F.when(F.col(luma).isNotNull(), F.bround(estimate).cast("int")),
         "jpeg_quality_exact": F.when(F.col(chroma).isNotNull() & F.col(luma).isNotNull(), exact),

@@ -116,7 +116,8 @@ def jpeg_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("p_size")
     scale = F.when(q < 50, F.floor(F.lit(5000) / q)).otherwise(200 - 2 * q)
     odd = (F.col("p_partkey") % 5 == 0).cast("int")
-    p = A.table(spark, sf_dir, "part").select("p_partkey", F.transform(base, lambda b: (F.greatest(F.lit(1), F.least(F.lit(255), F.floor((b * scale + 50) / 100))) + odd).cast("int")).alias("v"))
+    t = A.table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    p = t.repartition(A.parts(t, 32 << 10)).select("p_partkey", F.transform(base, lambda b: (F.greatest(F.lit(1), F.least(F.lit(255), F.floor((b * scale + 50) / 100))) + odd).cast("int")).alias("v"))
     x = p.select("p_partkey", F.slice("v", 1, 64).alias("luma_table"), F.slice("v", 65, 64).alias("chroma_table")).withColumns(metadata.quality_columns())
     return x.select("p_partkey", F.col("jpeg_quality_estimate").alias("estimate"), F.coalesce("jpeg_quality_exact", F.lit(0)).alias("exact"))
 

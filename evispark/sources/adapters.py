@@ -10,12 +10,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long-form score records: every line item is an entry with three detectors' scores."""
+#: Bytes of Parquet whose rows one task groups or orders.
+TASK_BYTES = 4 << 20
+
+
+def parts(t: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Into how many tasks a table's rows are dealt: by its bytes on disk, so that a task's share doesn't grow with the table; at least the session's number."""
+    size = int(t._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    return max(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes))
+
+
+def score_records(spark: SparkSession, sf_dir: str, by_entry: bool = False) -> DataFrame:
+    """Long-form score records: every line item is an entry with three detectors' scores; ``by_entry`` deals them by entry, for plans that group by it."""
     t = table(spark, sf_dir, "lineitem")
+    rows = t.withColumn("entry_path", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    if by_entry:
+        rows = rows.repartition(parts(t), "entry_path")
     fake = F.col("l_returnflag") == "R"
-    base = t.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("entry_path"),
+    base = rows.select(
+        "entry_path",
         F.when(fake, "fake").otherwise("real").alias("label"),
         F.concat(F.lit("src"), F.col("l_suppkey") % 20).alias("source"),
         F.when(fake, F.concat(F.lit("gen"), F.col("l_partkey") % 7)).alias("generator"),
