@@ -89,9 +89,9 @@ ENTRIES_SQL = """entries AS (
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of images: every order is an image, its line items are pixels with a mask bit and a probability."""
+    """Pixels of images: every order is an image, its line items are pixels with a mask bit and a probability; dealt by image, which is what their plans group and order by."""
     t = table(spark, sf_dir, "lineitem")
-    return t.select(
+    return t.repartition(parts(t), "l_orderkey").select(
         F.col("l_orderkey").alias("image"),
         F.row_number().over(_line_order()).alias("pixel"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
