@@ -81,7 +81,7 @@ def block_pairs(blocks: DataFrame, features: list[str]) -> DataFrame:
     The neighbourhood of the next few rows takes the place of a self join; the shift is that from the raster-earlier block.
     """
     order = Window.partitionBy("image").orderBy(*features, "y", "x")
-    near = F.array(*[F.struct(*[F.lead(c, k).over(order).alias(c) for c in (*features, "x", "y")]) for k in range(1, NEIGHBOURS + 1)])
+    near = F.array(*[F.lead(F.struct(*features, "x", "y"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
     other = blocks.withColumn("near", near).select("image", "x", "y", *features, F.explode("near").alias("o"))
     same = F.lit(True)
     for f in features:

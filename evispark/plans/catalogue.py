@@ -402,7 +402,7 @@ DETECTORS = ["discount", "quantity", "tax"]
 
 def _some(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score records, where one detector misses some entries."""
-    return A.score_records(spark, sf_dir).where(~((F.col("detector") == "tax") & F.col("elapsed_ms").isNull()))
+    return A.score_records(spark, sf_dir, by_entry=True).where(~((F.col("detector") == "tax") & F.col("elapsed_ms").isNull()))
 
 
 @_query(_with(S, WIDE) + "SELECT entry_path, level, label, " + ", ".join(f"round(logit_{d}, 9) AS logit_{d}, has_{d}" for d in DETECTORS) + " FROM z")
@@ -548,7 +548,9 @@ votes AS (SELECT image, dx, dy, count(*) AS votes FROM pairs GROUP BY ALL)
 SELECT image, dx, dy, votes FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY votes DESC, dx, dy) AS r FROM votes) WHERE r = 1"""
 )
 def dominant_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_quantity", "l_linenumber").distinct()
+    t = A.table(spark, sf_dir, "lineitem")
+    # dealt by image once: the distinct rows, their order and the votes need no further shuffle
+    rows = t.select("l_suppkey", "l_partkey", "l_orderkey", "l_quantity", "l_linenumber").repartition(A.parts(t), "l_suppkey").distinct()
     blocks = rows.select(F.col("l_suppkey").alias("image"), (F.col("l_partkey") * 4).alias("x"), (F.col("l_orderkey") * 4).alias("y"), F.col("l_quantity").cast("int").alias("f0"), F.col("l_linenumber").alias("f1"))
     return evidence.dominant_shift(evidence.block_pairs(blocks, ["f0", "f1"]))
 
