@@ -49,13 +49,23 @@ def running_totals(steps: DataFrame, keys: Sequence[str], by: str, values: Seque
     return inside.alias("_s").join(sums.alias("_t"), on).select(*[f"_s.{c}" for c in steps.columns], *[(F.col(f"_{v}_low") + F.col(f"_{v}_in")).alias(f"{v}_below") for v in values], *[f"{v}_all" for v in values])
 
 
-def curve(df: DataFrame, keys: Sequence[str], score: str = "score", y: Column | None = None, bounded: bool = False) -> DataFrame:
+def counted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, score, label, weight): how many records there are of each kind; of records that are counted already, their sums."""
+    weight = F.sum("weight") if "weight" in df.columns else F.count(F.lit(1))
+    return df.groupBy(*keys, "score", "label").agg(weight.alias("weight"))
+
+
+def _weight(weight: str | None) -> Column:
+    return F.lit(1).cast("long") if weight is None else F.col(weight)
+
+
+def curve(df: DataFrame, keys: Sequence[str], score: str = "score", y: Column | None = None, bounded: bool = False, weight: str | None = None) -> DataFrame:
     """For each distinct score of a key: positives and negatives at (p, n), below (p_below, n_below) and in all (p_all, n_all).
 
-    ``bounded`` says that a key's rows are few by nature, as the pixels of an image: they are ordered in one go.
+    ``bounded`` says that a key's rows are few by nature, as the pixels of an image: they are ordered in one go. ``weight`` names a column of counts.
     """
     y = is_fake() if y is None else y
-    steps = df.select(*keys, F.col(score).alias("score"), y.alias("_y")).groupBy(*keys, "score").agg(F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("n"))
+    steps = df.select(*keys, F.col(score).alias("score"), y.alias("_y"), _weight(weight).alias("_w")).groupBy(*keys, "score").agg(F.sum(F.col("_y") * F.col("_w")).alias("p"), F.sum((1 - F.col("_y")) * F.col("_w")).alias("n"))
     if not bounded:
         return running_totals(steps, keys, "score", ["p", "n"])
     below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,12 +87,13 @@ def average_precision(c: DataFrame, keys: Sequence[str]) -> DataFrame:
     return c.groupBy(*keys).agg(rounded(F.sum(F.when(F.col("p_all") > 0, F.col("p") / F.col("p_all") * hit / (hit + false)))).alias("average_precision"))
 
 
-def at_threshold(df: DataFrame, keys: Sequence[str], threshold: Column, score: str = "score", y: Column | None = None) -> DataFrame:
+def at_threshold(df: DataFrame, keys: Sequence[str], threshold: Column, score: str = "score", y: Column | None = None, weight: str | None = None) -> DataFrame:
     """Counts of the strict rule score > threshold, and accuracy, tpr, fpr and balanced accuracy."""
     y = is_fake() if y is None else y
     said = (F.col(score) > threshold).cast("long")
-    c = df.select(*keys, y.alias("y"), said.alias("s")).groupBy(*keys).agg(
-        F.sum(F.col("y") * F.col("s")).alias("tp"), F.sum((1 - F.col("y")) * F.col("s")).alias("fp"), F.sum("y").alias("pos"), F.count(F.lit(1)).alias("total")
+    w = F.col("w")
+    c = df.select(*keys, y.alias("y"), said.alias("s"), _weight(weight).alias("w")).groupBy(*keys).agg(
+        F.sum(F.col("y") * F.col("s") * w).alias("tp"), F.sum((1 - F.col("y")) * F.col("s") * w).alias("fp"), F.sum(F.col("y") * w).alias("pos"), F.sum(w).alias("total")
     )
     return rates(c)
 
@@ -110,21 +121,24 @@ def best_threshold(c: DataFrame, keys: Sequence[str], objective: str = "balanced
     return c.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.threshold", F.col("b.value").alias(f"best_{objective}"))
 
 
-def calibration_error(df: DataFrame, keys: Sequence[str], prob: str = "score", bins: int = 15, y: Column | None = None) -> DataFrame:
+def calibration_error(df: DataFrame, keys: Sequence[str], prob: str = "score", bins: int = 15, y: Column | None = None, weight: str | None = None) -> DataFrame:
     """Expected calibration error over equal, right-closed bins; 0 is in the first."""
     y = is_fake() if y is None else y
     edges = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     place = F.size(F.filter(edges, lambda e: e < F.col("_p")))
     # integers of 1e-9 keep sums independent of their order
     unit = 1_000_000_000
-    b = df.select(*keys, F.col(prob).alias("_p"), y.alias("y")).withColumn("bin", place).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("m"), F.sum(F.round(F.col("_p") * unit).cast("long")).alias("s"), F.sum("y").alias("hit"))
+    w = F.col("_w")
+    b = df.select(*keys, F.col(prob).alias("_p"), y.alias("y"), _weight(weight).alias("_w")).withColumn("bin", place).groupBy(*keys, "bin").agg(F.sum(w).alias("m"), F.sum(F.round(F.col("_p") * unit).cast("long") * w).alias("s"), F.sum(F.col("y") * w).alias("hit"))
     gap = F.abs(F.sum("s").over(Window.partitionBy(*keys, "bin")) / unit - F.col("hit"))
     return b.withColumn("gap", gap).groupBy(*keys).agg(F.round(F.sum("gap") / F.sum("m"), 7).alias("ece"))
 
 
-def brier(df: DataFrame, keys: Sequence[str], prob: str = "score", y: Column | None = None) -> DataFrame:
+def brier(df: DataFrame, keys: Sequence[str], prob: str = "score", y: Column | None = None, weight: str | None = None) -> DataFrame:
     y = is_fake() if y is None else y
-    return df.groupBy(*keys).agg(F.round(F.avg(F.pow(F.col(prob) - y, F.lit(2))), 7).alias("brier"))
+    off = F.pow(F.col(prob) - y, F.lit(2))
+    mean = F.avg(off) if weight is None else F.sum(off * F.col(weight)) / F.sum(F.when(off.isNotNull(), F.col(weight)))
+    return df.groupBy(*keys).agg(F.round(mean, 7).alias("brier"))
 
 
 def average_ranks(keys: Sequence[str], value: str) -> Column:
@@ -133,16 +147,21 @@ def average_ranks(keys: Sequence[str], value: str) -> Column:
 
 
 def image_metrics(df: DataFrame, keys: Sequence[str], threshold: Column | None = None) -> DataFrame:
-    """The bundle of image metrics at a threshold, or at each key's best one."""
-    c = curve(df, keys)
+    """The bundle of image metrics at a threshold, or at each key's best one.
+
+    Records are counted by score and label first: what is joined, ordered and summed are distinct scores. The thresholds,
+    a row for each key, go to all tasks, so that no key's records meet in one.
+    """
+    df = counted(df, keys)
+    c = curve(df, keys, weight="weight")
     best = best_threshold(c, keys)
     if threshold is None:
         own = best.select(*keys, "threshold")
     else:
         own = best.select(*keys, threshold.alias("threshold"))
-    named = df.join(own, list(keys))
-    at = at_threshold(named, [*keys, "threshold"], F.col("threshold"))
+    named = df.join(F.broadcast(own), list(keys))
+    at = at_threshold(named, [*keys, "threshold"], F.col("threshold"), weight="weight")
     out = at
-    for part in (auc(c, keys), average_precision(c, keys), calibration_error(df, keys), brier(df, keys)):
+    for part in (auc(c, keys), average_precision(c, keys), calibration_error(df, keys, weight="weight"), brier(df, keys, weight="weight")):
         out = out.join(part, list(keys))
     return out.select(*keys, "total", "pos", "threshold", "auc", "average_precision", "accuracy", "tpr", "fpr", "balanced_accuracy", "ece", "brier")

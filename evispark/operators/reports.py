@@ -20,7 +20,7 @@ def tuned_thresholds(df: DataFrame, fixed: float = FIXED_THRESHOLD) -> DataFrame
     clean = df.where("level = 'clean'")
     has_val = clean.where("split = 'val'").limit(1).count() > 0
     own = clean.where("split = 'val'") if has_val else clean
-    best = M.best_threshold(M.curve(own, ["detector"]), ["detector"])
+    best = M.best_threshold(M.curve(M.counted(own, ["detector"]), ["detector"], weight="weight"), ["detector"])
     return df.select("detector").distinct().join(best, "detector", "left").select("detector", F.coalesce("threshold", F.lit(fixed)).alias("threshold"))
 
 
@@ -29,7 +29,7 @@ def image_table(df: DataFrame, level: str = "clean", fixed: float = FIXED_THRESH
     rows = df.where(F.col("level") == level)
     out = M.image_metrics(rows, ["detector"], F.lit(fixed))
     tuned = tuned_thresholds(df, fixed)
-    at = M.at_threshold(rows.join(tuned, "detector"), ["detector", "threshold"], F.col("threshold"))
+    at = M.at_threshold(M.counted(rows, ["detector"]).join(F.broadcast(tuned), "detector"), ["detector", "threshold"], F.col("threshold"), weight="weight")
     at = at.select("detector", F.col("threshold").alias("tuned_threshold"), F.col("balanced_accuracy").alias("tuned_balanced_accuracy"), F.col("fpr").alias("tuned_fpr"))
     return out.join(at, "detector").withColumn("note", F.when((F.col("pos") == 0) | (F.col("pos") == F.col("total")), "one label only"))
 
@@ -46,8 +46,9 @@ def robustness_table(df: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame
     """Detector by level, levels without records included; the level relation is a handful of literals."""
     grid = df.select("detector").distinct().select("detector", F.explode(F.array(*map(F.lit, levels))).alias("level"))
     keys = ["detector", "level"]
-    auc = M.auc(M.curve(df, keys), keys)
-    at = M.at_threshold(df, keys, F.lit(FIXED_THRESHOLD)).select(*keys, "total", "balanced_accuracy", "fpr", "tpr")
+    df = M.counted(df, keys)
+    auc = M.auc(M.curve(df, keys, weight="weight"), keys)
+    at = M.at_threshold(df, keys, F.lit(FIXED_THRESHOLD), weight="weight").select(*keys, "total", "balanced_accuracy", "fpr", "tpr")
     return grid.join(at, keys, "left").join(auc, keys, "left").select("detector", "level", level_order(F.col("level"), levels).alias("ordinal"), F.coalesce("total", F.lit(0)).alias("n"), "auc", "balanced_accuracy", "fpr", "tpr")
 
 
@@ -57,7 +58,8 @@ def per_group_table(df: DataFrame, key: str) -> DataFrame:
         raise ValueError(f"groups are by generator or source, not {key}")
     rows = df.where("level = 'clean'").withColumn("group", known(key))
     keys = ["detector", "group"]
-    return M.auc(M.curve(rows, keys), keys).join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
+    rows = M.counted(rows, keys)
+    return M.auc(M.curve(rows, keys, weight="weight"), keys).join(rows.groupBy(*keys).agg(F.sum("weight").alias("n")), keys)
 
 
 def against_all_reals(df: DataFrame) -> DataFrame:
