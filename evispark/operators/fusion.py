@@ -34,11 +34,14 @@ def default_detectors(df: DataFrame) -> DataFrame:
     return df.select("detector").distinct().where(~name.startswith("constant_") & ~name.isin(*TRIVIAL))
 
 
-def features(df: DataFrame, detectors: Sequence[str], order: str = "score") -> DataFrame:
-    """One row for each (entry, level): label, and logit and presence of each detector, 0 where it is missing. Of several records the last in ``order`` counts."""
+def features(df: DataFrame, detectors: Sequence[str], order: str = "score", scores: bool = False) -> DataFrame:
+    """One row for each (entry, level): label, and logit and presence of each detector, 0 where it is missing. Of several records the last in ``order`` counts.
+
+    With ``scores`` also each detector's score (score_<detector>), null where it is missing.
+    """
     wide = df.groupBy("entry_path", "level").agg(F.min("label").alias("label"), *[F.max_by(F.when(F.col("detector") == d, F.col("score")), F.when(F.col("detector") == d, F.col(order))).alias(f"s_{d}") for d in detectors])
     cols = [c for d in detectors for c in (F.coalesce(logit(F.col(f"s_{d}")), F.lit(0.0)).alias(f"logit_{d}"), F.col(f"s_{d}").isNotNull().cast("int").alias(f"has_{d}"))]
-    return wide.select("entry_path", "level", "label", *cols)
+    return wide.select("entry_path", "level", "label", *cols, *[F.col(f"s_{d}").alias(f"score_{d}") for d in detectors if scores])
 
 
 def held_out(seed: int, path: str = "entry_path") -> Column:

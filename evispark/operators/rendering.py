@@ -46,10 +46,12 @@ def _rows(df: DataFrame, *by: str) -> list:
 
 def benchmark_markdown(name: str, records: DataFrame, pixels: DataFrame | None = None, levels: Sequence[str] = reports.LEVELS, fixed: float = reports.FIXED_THRESHOLD, missing: int = 0, caveat: str | None = None) -> str:
     """All tables of a run in a fixed order: what was run, image metrics, robustness, groups, pixels, times."""
-    records = records.persist()
+    # all tables but the number of entries come from counts of the records, which are no more than these and mostly far fewer
+    count = records.select("entry_path").distinct().count()
+    kinds = ("detector", "level", "split", "generator", "source", "label", "score")
+    records = records.groupBy(*kinds).agg(F.count(F.lit(1)).alias("weight"), F.sum("elapsed_ms").alias("ms"), F.count("elapsed_ms").alias("timed")).persist()
     try:
         seen = [r["level"] for r in records.select("level").distinct().orderBy(reports.level_order(F.col("level"), levels), "level").collect()]
-        count = records.select("entry_path").distinct().count()
         lines = [f"# Benchmark report: {name}", "", f"- Entries evaluated: {count}", f"- Robustness levels: {', '.join(seen)}", f"- Fixed threshold: {fixed:g}"]
         lines += [f"- Threshold caveat: {caveat}"] * bool(caveat) + [f"- Missing files: {missing}"] * bool(missing) + [""]
 
@@ -75,7 +77,7 @@ def benchmark_markdown(name: str, records: DataFrame, pixels: DataFrame | None =
             if found:
                 head = ("detector", "level", "n", "mean f1@0.5", "mean best-f1", "mean ap", "mean iou")
                 lines += ["## Pixel metrics", "", *table(head, [(r["detector"], r["level"], r["n"], *map(number, (r["f1_at_threshold"], r["best_f1"], r["ap"], r["iou"]))) for r in found])]
-        times = records.groupBy("detector").agg(F.round(F.avg("elapsed_ms"), 5).alias("ms"), F.count("elapsed_ms").alias("n"))
+        times = records.groupBy("detector").agg(F.round(F.sum("ms") / F.nullif(F.sum("timed"), F.lit(0)), 5).alias("ms"), F.sum("timed").alias("n"))
         lines += ["## Timing", "", *table(("detector", "n", "mean elapsed_ms"), [(r["detector"], r["n"], number(r["ms"], 2)) for r in _rows(times, "detector")])]
         return "\n".join(lines)
     finally:
@@ -114,10 +116,18 @@ def audit_markdown(entries: DataFrame) -> str:
     return "\n".join(lines)
 
 
-def fusion_payload(features: DataFrame, model: Fuser, records: DataFrame, note: Callable[[str], str] | None = None) -> DataFrame:
-    """(entry_path, level, payload): the fused verdict of every image as JSON: probability, label, band, and what each detector moved, the most first."""
-    each = records.where(F.col("detector").isin(*model.detectors)).groupBy("entry_path", "level", "detector").agg(F.max("score").alias("score"))  # of several the one that the features use
-    scores = each.groupBy("entry_path", "level").agg(F.map_from_entries(F.collect_list(F.struct("detector", "score"))).alias("scores"))
+def fusion_payload(features: DataFrame, model: Fuser, records: DataFrame | None = None, note: Callable[[str], str] | None = None) -> DataFrame:
+    """(entry_path, level, payload): the fused verdict of every image as JSON: probability, label, band, and what each detector moved, the most first.
+
+    Without records the features have the scores themselves, so that nothing is grouped again or joined.
+    """
+    if records is None:
+        own = F.create_map(*[x for d in model.detectors for x in (F.lit(d), F.col(f"score_{d}"))])
+        joined = features.withColumn("scores", F.map_filter(own, lambda _, v: v.isNotNull()))
+    else:
+        each = records.where(F.col("detector").isin(*model.detectors)).groupBy("entry_path", "level", "detector").agg(F.max("score").alias("score"))  # of several the one that the features use
+        scores = each.groupBy("entry_path", "level").agg(F.map_from_entries(F.collect_list(F.struct("detector", "score"))).alias("scores"))
+        joined = features.join(scores, ["entry_path", "level"], "left")
     p = model.probability()
     weight = F.create_map(*[y for i, d in enumerate(model.detectors) for y in (F.lit(d), F.lit(float(model.weights[2 * i])))])
     notes = F.create_map(*[y for d in model.detectors for y in (F.lit(d), F.lit(note(d) if note else ""))])
@@ -128,7 +138,6 @@ def fusion_payload(features: DataFrame, model: Fuser, records: DataFrame, note:
             F.coalesce(F.map_contains_key("scores", c["detector"]), F.lit(False)).alias("present"), F.element_at(notes, c["detector"]).alias("note"),
         ),
     )
-    joined = features.join(scores, ["entry_path", "level"], "left")
     payload = F.struct(F.round(p, 9).alias("probability"), model.label(p).alias("label"), F.struct(F.lit(model.low).alias("low"), F.lit(model.high).alias("high")).alias("band"), moved.alias("contributions"))
     return joined.select("entry_path", "level", F.to_json(payload).alias("payload"))
 

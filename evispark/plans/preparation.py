@@ -228,8 +228,8 @@ SELECT entry_path, level, 3 AS detectors, CAST(d IS NOT NULL AS INTEGER) + CAST(
 )
 def fusion_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payload, read back."""
-    records = A.score_records(spark, sf_dir).where(~((F.col("detector") == "tax") & F.col("elapsed_ms").isNull()))
-    got = R.fusion_payload(fusion.features(records, DETECTORS), MODEL, records)
+    records = A.score_records(spark, sf_dir, by_entry=True).where(~((F.col("detector") == "tax") & F.col("elapsed_ms").isNull()))
+    got = R.fusion_payload(fusion.features(records, DETECTORS, scores=True), MODEL)
     schema = "probability double, label string, band struct<low: double, high: double>, contributions array<struct<detector: string, score: double, weight: double, contribution: double, present: boolean, note: string>>"
     x = got.select("entry_path", "level", F.from_json("payload", schema).alias("p"))
     tax: Column = F.get(F.filter("p.contributions", lambda c: c["detector"] == "tax"), F.lit(0))["score"]
