@@ -606,7 +606,7 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pyarrow as pa
 
     def draw(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             ids, data = batch.column("vec_id").to_pylist(), []
             for i, v in zip(ids, batch.column("embedding").to_pylist(), strict=True):
                 v = np.asarray(v, float)
@@ -619,7 +619,9 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array([f"{i}.png" for i in ids]), pa.array([64] * n, pa.int32()), pa.array([64] * n, pa.int32()), pa.array(data, pa.binary())], ["entry_path", "height", "width", "rgb"])
 
-    return A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(draw, "entry_path string, height int, width int, rgb binary")
+    # a vector is small and its image is much work, so tasks get few rows: no worker is sent more than some hundred images, and all cores have some
+    t = A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return t.repartition(A.parts(t, 128 << 10)).mapInArrow(draw, "entry_path string, height int, width int, rgb binary")
 
 
 @_query()
