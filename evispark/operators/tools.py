@@ -14,6 +14,7 @@ import json
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -217,14 +218,15 @@ def resized(rgb: np.ndarray, h: int, w: int, whole: bool = True) -> np.ndarray:
     return np.rint(out).astype(np.uint8) if whole else out
 
 
-def perturb(rgb: np.ndarray, level: Level) -> np.ndarray | None:
-    """The image at a level; null where a codec is missing. Noise is seeded by content and level."""
+def perturb(rgb: np.ndarray, level: Level, coded: Callable[[], list[signals.Plane]] | None = None) -> np.ndarray | None:
+    """The image at a level; null where a codec is missing. Noise is seeded by content and level. ``coded`` gives the image's transforms, made once for all levels."""
     p, (h, w) = level.params, rgb.shape[:2]
+    coded = coded or (lambda: signals.planes(rgb))
     scaled = lambda f: resized(rgb, max(1, round(h * f)), max(1, round(w * f)))
     if level.kind == "clean":
         return rgb
     if level.kind == "jpeg":
-        return signals.jpeg(rgb, int(p["quality"]))
+        return signals.decoded(coded(), int(p["quality"]), h, w)
     if level.kind == "resize":
         return scaled(p["scale"])
     if level.kind == "resize_roundtrip":
@@ -237,7 +239,7 @@ def perturb(rgb: np.ndarray, level: Level) -> np.ndarray | None:
         return np.clip(rgb + np.random.default_rng(seed).normal(0, p["sigma"], rgb.shape).astype(np.float32), 0, 255).astype(np.uint8)
     if level.kind == "social":
         f = min(1.0, p["max_side"] / max(h, w))
-        return signals.jpeg(scaled(f) if f < 1 else rgb, int(p["quality"]))
+        return signals.jpeg(scaled(f), int(p["quality"])) if f < 1 else signals.decoded(coded(), int(p["quality"]), h, w)
     return None
 
 
@@ -276,11 +278,12 @@ def run_tools(images: DataFrame, tools: Sequence[str], levels: Sequence[Level] =
                     data, raw = part.column("rgb")[i].as_py(), part.column("raw")[i].as_py() if has_raw else None
                     broken = data is None or h is None or w is None or len(data) != 3 * h * w or not len(data)
                     rgb = None if broken else np.frombuffer(data, np.uint8).reshape(h, w, 3)
+                    coded = lru_cache(1)(partial(signals.planes, rgb))
                     for level in levels:
                         began, seen, fault = time.perf_counter(), None, "unreadable image"
                         if rgb is not None:
                             try:
-                                seen = perturb(rgb, level)
+                                seen = perturb(rgb, level, coded)
                                 fault = f"{level.kind} is unsupported"
                             except Exception as e:  # noqa: BLE001  a level that fails is this image's error alone
                                 fault = f"{level.name}: {e or type(e).__name__}"
