@@ -82,9 +82,14 @@ def auc(c: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def average_precision(c: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Step-wise; null without positives."""
+    return c.groupBy(*keys).agg(precision().alias("average_precision"))
+
+
+def precision() -> Column:
+    """Average precision as an aggregate over a key's curve."""
     hit = F.col("p_all") - F.col("p_below")
     false = F.col("n_all") - F.col("n_below")
-    return c.groupBy(*keys).agg(rounded(F.sum(F.when(F.col("p_all") > 0, F.col("p") / F.col("p_all") * hit / (hit + false)))).alias("average_precision"))
+    return rounded(F.sum(F.when(F.col("p_all") > 0, F.col("p") / F.col("p_all") * hit / (hit + false))))
 
 
 def at_threshold(df: DataFrame, keys: Sequence[str], threshold: Column, score: str = "score", y: Column | None = None, weight: str | None = None) -> DataFrame:
